@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import ship
+
 #: Byte map for the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of text with A-Z lower-cased:
 #: separators become blanks, bytes of non-ASCII characters stay.
 AZ_TABLE = bytes(
@@ -68,6 +70,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, body)``: only the two needed columns, text as UTF-8 bytes, null text as empty."""
+    ship(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("body"),

@@ -42,3 +42,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenbin import read_tokens, write_tokens
 
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_fm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_toxicity_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_progressive_media")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .progressive import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minmax_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
