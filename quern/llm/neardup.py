@@ -130,3 +130,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, rounds:
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document, the one of smallest id, of each group of near-duplicates, with all columns."""
+    gone = near_duplicates(docs, width, percent, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = common.materialise(gone, "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -77,3 +77,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _op6_oracle() -> str:
+    from .decontaminate import ORACLE
+
+    return ORACLE
+
+
+@query("op6_benchmark_decontamination", _op6_oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_hits
+
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_compact_window_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_warc_derivatives")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivative_digests
+
+    return derivative_digests(table(spark, sf_dir, "pages"))

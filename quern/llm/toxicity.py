@@ -149,13 +149,8 @@ def dependent_words(counts: DataFrame, n: int, positive: int, least: float = 25.
     return counts.withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(bound)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, train_rows: int = 12000, k: int = 15, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, held_out, score, predicted, nearest_ids, nearest_cosines`` for every document's whole text.
-
-    The index holds at most ``train_rows`` labelled examples outside the held-out fold. Texts without a word of
-    the vocabulary, null and empty ones too, get the label's rate among such examples (the base rate without
-    examples) and no evidence. Repeated rows score alike; a null id counts as not held out.
-    """
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, train_rows: int = 12000, k: int = 15, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
+    """The index of at most ``train_rows`` labelled examples outside the held-out fold, with the IDFs of all documents."""
     src = common.documents(docs, id_col, text_col)
     sample = labelled_sample(labels, label, folds, fold, train_rows)
     ddl = "doc_id long, y int, word binary, tf int"
@@ -179,7 +174,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
         for r in held.join(F.broadcast(terms), "word").collect():
             vectors[r.doc_id][bytes(r.word)] = r.tf
     df, n = word_counts(src, frozenset(chosen))
-    model = ToxicityModel([(key, vectors[key], y) for key, y in about.items()], {w: df.get(w, 0) for w in chosen}, n, k)
+    return ToxicityModel([(key, vectors[key], y) for key, y in about.items()], {w: df.get(w, 0) for w in chosen}, n, k)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted, nearest_ids, nearest_cosines`` for every document's whole text.
+
+    ``options`` are those of :func:`fit_toxicity`. Texts without a word of the vocabulary, null and empty ones
+    too, get the label's rate among such examples (the base rate without examples) and no evidence. Repeated
+    rows score alike; a null id counts as not held out.
+    """
+    model = fit_toxicity(docs, labels, folds=folds, fold=fold, text_col=text_col, id_col=id_col, **options)
+    src = common.documents(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl_out = "doc_id long, held_out boolean, score double, predicted int, nearest_ids array<long>, nearest_cosines array<double>"
     out_schema = common.arrow_schema(ddl_out)
@@ -194,3 +200,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
             }, out_schema)
 
     return src.select("doc_id", F.coalesce(held_out("doc_id", folds, fold), F.lit(False)).alias("held_out"), "body").mapInArrow(run, ddl_out)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that score under ``threshold``."""
+    import pandas as pd
+
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options))
+
+    def score(bodies: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(bytes(x))[0] for x in bodies], dtype="float64")
+
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
+    return docs.where(F.pandas_udf(score, "double")(body) < threshold)
