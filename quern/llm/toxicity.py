@@ -13,6 +13,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,8 +205,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that score under ``threshold``."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options))
 
     def score(bodies: pd.Series) -> pd.Series:
