@@ -242,3 +242,65 @@ _PR_ROUND = ", m{b} AS (SELECT def_id AS node, (1 - 0.85e0) / n + 0.85e0 * (SELE
 def pagerank(spark, sf_dir):
     g = derive.star_graph(spark, sf_dir, cyclic=True)
     return rank.pagerank(g.nodes.select(F.col("def_id").alias("node")), g.edges, rounds=5, tol=0.0).select("node", F.round("mass", 9).alias("mass"))
+
+
+# --- similarity and geometry ---------------------------------------------------------------------------------
+
+from quern.operators import geometry, similarity  # noqa: E402
+
+
+@query("signature_fingerprint_pairs", f"""WITH RECURSIVE nodes AS ({derive.NODES}), edges AS ({derive.DAG}), reach(seed, node) AS (SELECT def_id, def_id FROM nodes UNION SELECT seed, dst FROM reach JOIN edges ON node = src),
+bag AS (SELECT seed AS owner, kind AS item, count(*) AS w FROM reach JOIN nodes ON node = def_id GROUP BY seed, kind), s AS (SELECT owner, sum(w) AS s FROM bag GROUP BY owner HAVING sum(w) >= 3),
+m AS (SELECT x.owner AS a, y.owner AS b, sum(least(x.w, y.w)) AS m FROM bag x JOIN bag y ON x.item = y.item AND x.owner < y.owner GROUP BY 1, 2)
+SELECT a, b, round(m / (u.s + v.s - m)::DOUBLE, 6) AS sim FROM m JOIN s u ON a = u.owner JOIN s v ON b = v.owner WHERE m / (u.s + v.s - m)::DOUBLE >= 0.8e0""")
+def signature_fingerprint_pairs(spark, sf_dir):
+    from quern.session import materialise
+
+    g = derive.star_graph(spark, sf_dir)
+    colors = g.nodes.select(F.col("def_id").alias("node"), F.col("kind").alias("color"))
+    bags = similarity.fingerprints(g.nodes.select(F.col("def_id").alias("seed")), g.edges, colors)
+    big = bags.groupBy("owner").agg(F.sum("w").alias("s")).where("s >= 3").select("owner")
+    return rounded(similarity.weighted_jaccard(materialise(bags.join(big, "owner", "left_semi"), "bags"), 0.8), "sim")
+
+
+def _flat(df, *cols):
+    return df.select(*cols, F.array_join("members", ",").alias("members"))
+
+
+@query("fingerprint")
+def fingerprint(spark, sf_dir):
+    return _flat(similarity.fingerprint(derive.star_graph(spark, sf_dir)), "root", "size", F.round("avg_sim", 6).alias("avg_sim"))
+
+
+@query("echo")
+def echo(spark, sf_dir):
+    return _flat(similarity.echo(derive.star_graph(spark, sf_dir)), "root", "size", "spread")
+
+
+@query("silhouette")
+def silhouette(spark, sf_dir):
+    return _flat(similarity.silhouette(derive.star_graph(spark, sf_dir), min_size=2), "root", "size", F.round("overlap", 6).alias("overlap"), "tag")
+
+
+@query("load_bearing")
+def load_bearing(spark, sf_dir):
+    return rounded(geometry.load_bearing(derive.star_graph(spark, sf_dir, cyclic=True)), "span", "score")
+
+
+_WALK = "f(node, d) AS (SELECT def_id, 0 FROM nodes WHERE state = 'P' UNION SELECT src, d + 1 FROM f JOIN edges ON node = dst WHERE src NOT IN (SELECT def_id FROM nodes WHERE state = 'P')), r(node, d) AS (SELECT def_id, 0 FROM nodes WHERE access = 'public' UNION SELECT dst, d + 1 FROM r JOIN edges ON node = src WHERE dst NOT IN (SELECT def_id FROM nodes WHERE access = 'public'))"
+
+
+@query("horizon", f"""{CTE}, {_WALK}
+SELECT def_id AS node, CAST(coalesce(max(f.d), -1) AS INTEGER) AS forward, CAST(coalesce((SELECT max(d) FROM r WHERE r.node = def_id), -1) AS INTEGER) AS backward FROM nodes LEFT JOIN f ON f.node = def_id GROUP BY def_id""")
+def horizon(spark, sf_dir):
+    return geometry.horizon(derive.star_graph(spark, sf_dir))
+
+
+@query("build_cost", f"""{CTE}, reach(seed, node) AS (SELECT def_id, def_id FROM nodes UNION SELECT seed, dst FROM reach JOIN edges ON node = src),
+own AS (SELECT def_id, (SELECT count(*) FROM edges WHERE src = def_id) * (SELECT count(*) FROM edges WHERE dst = def_id) AS f, CASE kind WHEN 'function' THEN 6 WHEN 'projection' THEN 4 WHEN 'datatype' THEN 3 WHEN 'record' THEN 2 ELSE 1 END AS k FROM nodes),
+walk(node, depth) AS (SELECT def_id, 0 FROM nodes WHERE def_id NOT IN (SELECT src FROM edges) UNION SELECT src, depth + 1 FROM walk JOIN edges ON node = dst),
+d AS (SELECT node, max(depth) AS depth FROM walk GROUP BY node), s AS (SELECT seed, count(*) AS reach, sum(f) AS fan, sum(k) AS kinds FROM reach JOIN own ON node = def_id GROUP BY seed), b AS (SELECT node, count(*) AS reachers FROM reach GROUP BY node)
+SELECT own.def_id AS scc, reach, CAST(fan AS BIGINT) AS fan, CAST(kinds AS BIGINT) AS kinds, CAST(depth AS INTEGER) AS depth, round(reach + 0.5e0 * fan + 2.0e0 * kinds + 10.0e0 * depth / (SELECT greatest(max(depth), 1) FROM d), 6) AS cost, reachers, round(reachers * (1.0e0 + 0.5e0 * f + 2.0e0 * k), 6) AS lever
+FROM own JOIN s ON seed = def_id JOIN d ON d.node = def_id JOIN b ON b.node = def_id""")
+def build_cost(spark, sf_dir):
+    return rounded(geometry.build_cost(derive.star_graph(spark, sf_dir)), "cost", "lever")
