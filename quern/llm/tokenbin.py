@@ -74,6 +74,7 @@ class Order0:
             self.cls[own], self.wcum[own], self.wfreq[own] = c, cum[:-1].astype(np.uint64), np.diff(cum).astype(np.uint64)
             self.lut[c] = np.repeat(own, np.diff(cum))
             prior[c] = max(int(w.sum()), 1)
+        self.flat_lut = self.lut.reshape(-1)
         self.start = np.maximum(prior * (64 * k) // prior.sum(), 4)
 
 
@@ -97,15 +98,17 @@ class Lanes:
         """Go on with the first ``n`` lanes."""
         for name in ("base1", "base2", "a", "b", "rows"):
             setattr(self, name, getattr(self, name)[:n])
-        self.n = n
         self.counts = self.counts[:n]
-        self.cum = self.cum[:n]
+        self.cum = np.ascontiguousarray(self.cum[:, :n])
+        self.flat_cum, self.lane = self.cum.reshape(-1).astype(np.uint64), np.arange(n)
 
     def predict(self) -> None:
         if self.step % RENEW == 0:
-            c = np.cumsum(self.counts, axis=1)
-            body = c * ((1 << CLASSES_LOG) - self.k) // c[:, -1:] + np.arange(1, self.k + 1)
-            self.cum = np.concatenate((np.zeros((len(c), 1), np.int64), body), axis=1).astype(np.uint64)
+            c = np.cumsum(self.counts.T, axis=0)
+            body = c * ((1 << CLASSES_LOG) - self.k) // c[-1] + np.arange(1, self.k + 1)[:, None]
+            # by class, then lane: class frequencies are summed down the lanes
+            self.cum = np.concatenate((np.zeros((1, c.shape[1]), np.int64), body)).astype(np.uint16)
+            self.flat_cum, self.lane = self.cum.reshape(-1).astype(np.uint64), np.arange(c.shape[1])
         self.i1 = self.base1 + ((self.b * 2654435761 >> 7) & ((1 << H1) - 1))
         self.i2 = self.base2 + (((self.a * 40503 + self.b) * 2654435761 >> 9) & ((1 << H2) - 1))
         self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
@@ -117,31 +120,46 @@ class Lanes:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = self.zero
-        cls = z.cls[ids]
-        at = self.rows + np.arange(len(ids)) + cls  # cum has k + 1 columns
-        cum = self.cum.reshape(-1)
-        c0 = cum[at]
-        freq = cum[at + 1] - c0
+        n = len(ids)
+        at = z.cls[ids] * n + self.lane
+        c0 = self.flat_cum[at]
+        freq = self.flat_cum[at + n] - c0
         lo0 = (c0 << U(WITHIN_LOG)) + freq * z.wcum[ids]
         lo = self.low0 + (self.rest * lo0 >> U(24))
         hi = self.low0 + (self.rest * (lo0 + freq * z.wfreq[ids]) >> U(24))
-        hit1 = ids == self.p1
-        lo, hi = np.where(hit1, self.m2, lo), np.where(hit1, self.low0, hi)
-        hit2 = ids == self.p2
-        return np.where(hit2, U(0), lo), np.where(hit2, self.m2, hi)
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        z = self.zero
-        x = np.where(v < self.low0, U(0), v - self.low0)
+        return self._guessed(ids, lo, hi)
+
+    def _guessed(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals with those of right guesses in place, the order-2 guess first."""
+        hit = np.flatnonzero(ids == self.p1)
+        lo[hit], hi[hit] = self.m2[hit], self.low0[hit]
+        hit = np.flatnonzero(ids == self.p2)
+        lo[hit], hi[hit] = 0, self.m2[hit]
+        return lo, hi
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold ``v``, and the intervals."""
+        z, n = self.zero, len(v)
+        low0 = self.low0
+        x = np.maximum(v, low0) - low0
         u = (((x + U(1)) << U(24)) - U(1)) // self.rest
-        u = np.minimum(u, U((1 << 24) - 1))
-        cls = ((self.cum[:, 1:] << U(WITHIN_LOG)) <= u[:, None]).sum(axis=1)
-        at = self.rows + np.arange(len(v)) + cls
-        cum = self.cum.reshape(-1)
-        c0 = cum[at]
-        within = (u - (c0 << U(WITHIN_LOG))) // (cum[at + 1] - c0)
-        ids = z.lut.reshape(-1)[(cls << WITHIN_LOG) + within.astype(np.int64)]
-        return np.where(v < self.m2, self.p2, np.where(v < self.low0, self.p1, ids))
+        np.minimum(u, U((1 << 24) - 1), out=u)
+        cls = (self.cum[1:] <= (u >> U(WITHIN_LOG)).astype(np.uint16)).sum(axis=0, dtype=np.uint8).astype(np.int64)
+        at = cls * n + self.lane
+        c0 = self.flat_cum[at]
+        freq = self.flat_cum[at + n] - c0
+        c0 <<= U(WITHIN_LOG)
+        within = ((u - c0).astype(np.float64) / freq.astype(np.float64)).astype(np.int64)  # both below 2**24: exact
+        ids = z.flat_lut[(cls << WITHIN_LOG) + within]
+        c0 += freq * z.wcum[ids]
+        lo = low0 + (self.rest * c0 >> U(24))
+        hi = low0 + (self.rest * (c0 + freq * z.wfreq[ids]) >> U(24))
+        known = np.flatnonzero(v < low0)
+        two = v[known] < self.m2[known]
+        ids[known] = np.where(two, self.p2[known], self.p1[known])
+        lo[known] = np.where(two, U(0), self.m2[known])
+        hi[known] = np.where(two, self.m2[known], low0[known])
+        return ids, lo, hi
 
     def update(self, ids: np.ndarray) -> None:
         new = (ids << 3).astype(np.uint32)
@@ -244,8 +262,7 @@ def decode_ids(n: int, coded: list[bytes], zero: Order0) -> np.ndarray:
             m.predict()
             unit = r >> TOTAL_LOG
             v = np.minimum((code[:n_lanes] - l) // unit, U(TOTAL - 1))
-            ids = m.find(v)
-            lo, hi = m.interval(ids)
+            ids, lo, hi = m.find(v)
             l += unit * lo
             np.multiply(unit, hi - lo, out=r)
             _shift(l, r, feed)

@@ -25,20 +25,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids by chunk; an unknown chunk is encoded on the way."""
+
+    def __init__(self, miss):
+        self.miss = miss
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.miss(chunk)
+
+
 class IdEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     ``chunks``: so many chunks are remembered at most, and as many of the previous generation.
     """
 
-    def __init__(self, path: str, chunks: int = 500_000):
+    def __init__(self, path: str, chunks: int = 700_000):
         import json
 
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.chunks = chunks
-        self.new: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = _Known(self._miss)
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -76,7 +86,7 @@ class IdEncoder:
                 got = self._slow(chunk)
         if len(chunk) < 64:
             if len(self.new) >= self.chunks:
-                self.old, self.new = self.new, {}
+                self.old, self.new = self.new, _Known(self._miss)
             self.new[chunk] = got
         return got
 
@@ -84,10 +94,7 @@ class IdEncoder:
         if not self.chunked:
             return self._slow(text)
         parts = _SPACE.split(text) if _ODD.search(text) else text.split()
-        known = list(map(self.new.get, parts))
-        if None in known:
-            known = [self._miss(p) if k is None else k for p, k in zip(parts, known)]
-        return b"".join(known)
+        return b"".join(map(self.new.__getitem__, parts))
 
 
 _encoders: dict[str, IdEncoder] = {}

@@ -10,7 +10,7 @@ weighted by similarity and calibrated, by isotonic regression, on leave-one-out
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,47 +25,47 @@ BLOCK = 64
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of ``BLOCK`` examples: postings by term and block, with each term's largest weight a block."""
+    """Unit vectors in blocks of ``BLOCK`` examples: a block's postings by term, and each term's largest weight in it.
+
+    Examples are laid out by their heaviest terms, so that like ones share blocks and bounds are tight.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n = len(vectors)
-        blocks = max(-(-self.n // BLOCK), 1)
-        self.best = np.zeros((n_terms, blocks), np.float64)
-        cells: dict[tuple[int, int], tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                own = cells[t, i // BLOCK]
-                own[0].append(i % BLOCK)
-                own[1].append(w)
-                self.best[t, i // BLOCK] = max(self.best[t, i // BLOCK], w)
-        self.cells = {k: (np.array(a), np.array(w)) for k, (a, w) in cells.items()}
+        self.n, self.n_terms = len(vectors), n_terms
+        order = sorted(range(self.n), key=lambda i: ([t for _, t in sorted((-w, t) for t, w in vectors[i].items())][:4], i))
+        self.at = np.array(order, np.int64)
+        self.best = np.zeros((n_terms, max(-(-self.n // BLOCK), 1)), np.float64)
+        self.blocks = []
+        for b in range(-(-self.n // BLOCK)):
+            cells = sorted((t, r, w) for r, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]) for t, w in vectors[i].items())
+            terms, rows, weights = (np.array(x) for x in zip(*cells))
+            np.maximum.at(self.best[:, b], terms, weights)
+            self.blocks.append((terms, rows, weights))
         self.opened = 0
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest positive cosine, exactly; ties by example number."""
-        terms = list(query)
-        if not terms or not self.n:
+        if not query or not self.n:
             return []
+        terms = list(query)
         bound = np.array([query[t] for t in terms]) @ self.best[terms]
+        dense = np.zeros(self.n_terms)
+        dense[terms] = list(query.values())
         found: list[tuple[float, int]] = []
         floor = 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < floor - 1e-12:
+            if bound[b] <= 0 or bound[b] < floor - 1e-9:
                 break
             self.opened += 1
-            sims = np.zeros(BLOCK)
-            for t in terms:
-                cell = self.cells.get((t, b))
-                if cell:
-                    sims[cell[0]] += query[t] * cell[1]
-            at = np.flatnonzero((sims > 0) & (sims >= floor - 1e-12))
-            found += [(round(float(sims[i]), 12), b * BLOCK + i) for i in at.tolist() if b * BLOCK + i != skip]
-            if len(found) > k:
-                found.sort(key=lambda x: (-x[0], x[1]))
-                del found[k:]
+            own, rows, weights = self.blocks[b]
+            sims = np.round(np.bincount(rows, weights * dense[own], minlength=BLOCK), 12)
+            at = np.flatnonzero((sims > 0) & (sims >= floor))
+            found += [(s, i) for s, i in zip(sims[at].tolist(), self.at[b * BLOCK + at].tolist()) if i != skip]
+            found.sort(key=lambda x: (-x[0], x[1]))
+            del found[k:]
             if len(found) == k:
-                floor = min(x[0] for x in found)
-        return sorted(found, key=lambda x: (-x[0], x[1]))
+                floor = found[-1][0]
+        return found
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ class ToxicityModel:
         return got
 
 
-def dependent_words(counts: DataFrame, n: int, positive: int, least: float = 25.0, bound: int = 4096) -> DataFrame:
+def dependent_words(counts: DataFrame, n: int, positive: int, least: float = 25.0, bound: int = 1024) -> DataFrame:
     """Words of ``counts (word, n11, n1)`` whose G statistic against the label is ``least`` or more, at most ``bound``, strongest first."""
     o11, row = F.col("n11").cast("double"), F.col("n1").cast("double")
     term = lambda o, e: F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
