@@ -84,12 +84,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shin
     # a document has at most as many candidates as places times windows with the same rarest shingle
     cand = common.materialise(cand.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n", "window")).alias("c")), "candidates")
 
-    read = docs.withColumn("tkey", tkey)
-    near = _small(cand.withColumnsRenamed({"doc_id": "cd", "tkey": "ck"}))
-    read = read.join(near, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("tkey") == F.col("ck"))).dropDuplicates(["doc_id", "tkey"])
-    read = read.select("doc_id", "tkey", "c", _exact(_words(F.col("text"))).alias("w"))
+    # stored words: were they an expression, each candidate would split its text anew
+    near = _small(cand.select(F.col("doc_id").alias("cd"), F.col("tkey").alias("ck")))
+    touched = docs.withColumn("tkey", tkey).join(near, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("tkey") == F.col("ck")), "left_semi")
+    touched = touched.dropDuplicates(["doc_id", "tkey"]).select("doc_id", "tkey", _exact(_words(F.col("text"))).alias("w"))
+    touched = common.materialise(touched, "touched").join(cand.withColumnsRenamed({"doc_id": "cd", "tkey": "ck"}), F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("tkey") == F.col("ck")))
     true = F.filter("c", lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["n"]), " ") == c["window"])
-    true = read.select("doc_id", "tkey", F.array_sort(true).alias("c")).where(F.size("c") > 0)
+    true = common.materialise(touched.select("doc_id", "tkey", F.array_sort(true).alias("c")), "held").where(F.size("c") > 0)
     covered = F.aggregate(
         "c", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda a, c: F.struct(
