@@ -48,7 +48,17 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table of :func:`materialise` before the end, once all that was made of it is stored too."""
+    spark, path = stored.sparkSession, stored.stored_at
+    _written.remove(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cleanup(spark: SparkSession) -> int:
@@ -61,7 +71,7 @@ def cleanup(spark: SparkSession) -> int:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames no longer referenced."""
+    """Let Spark drop the shuffle files of frames no longer referenced; a frame held in a variable keeps its own."""
     import gc
 
     gc.collect()

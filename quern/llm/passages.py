@@ -8,8 +8,8 @@ by sliding minima. A rectangle's sides are kept as far as windows of ``least`` t
 
 Windows are grouped by (function, min-hash); a group's first document is its representative. A member and
 its representative are aligned at the shared token and their intervals intersected; what is still ``least``
-tokens long is a candidate, with the number of functions that found it. Candidates are verified on whole
-texts, token by token along their alignment.
+tokens long is a candidate, with the number of functions that found it. The stretches of text that candidates
+of one alignment span, and a margin, are cut from both documents and verified token by token.
 """
 
 from __future__ import annotations
@@ -23,21 +23,27 @@ from . import common, shingle
 U = np.uint64
 WIDTH, FUNCTIONS = 5, 4
 _FACTORS = np.random.default_rng(77).integers(0, 2**63, 32, dtype=np.uint64) * U(2) + U(1)
-BROADCAST_ROWS = 200_000
-SALT_ROWS = 128
+#: So many alignments or cut documents at most are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+#: Stretches of one document that one task cuts, about.
+SALT_ROWS = 256
+#: Tokens on either side of an alignment's windows that are compared as well.
+MARGIN = 46
 
 
 def compact_windows(tokens: np.ndarray, splits: np.ndarray, least: int, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, c, first start, last end) of each compact window, places within the text, ends exclusive.
 
     The starts of the windows of ``least`` tokens with minimum c are consecutive; the window's interval is
-    from the first of them to the end of the last.
+    from the first of them to the end of the last. Among equal minima the one met before stays as long as it
+    is inside, then the rightmost follows, so that text repeating itself has no more windows than other text.
     """
     n = len(tokens)
     if n < least:
         return (np.zeros(0, np.int64),) * 4
     bits = U(max(20, n.bit_length()))
-    low = (tokens * _FACTORS[function]) >> bits << bits | np.arange(n, dtype=np.uint64)
+    mask = (U(1) << bits) - U(1)
+    low = (tokens * _FACTORS[function]) >> bits << bits | (mask - np.arange(n, dtype=np.uint64))
     width = 1
     while width * 2 <= least:
         low = np.minimum(low[:-width], low[width:])
@@ -46,12 +52,18 @@ def compact_windows(tokens: np.ndarray, splits: np.ndarray, least: int, function
     low = np.minimum(low[:starts], low[least - width : least - width + starts])
     text = np.repeat(np.arange(len(splits) - 1), np.diff(splits))[:starts]
     inside = np.arange(starts) + least <= splits[text + 1]
-    c = (low & ((U(1) << bits) - U(1))).astype(np.int64)
+    c, value = (mask - (low & mask)).astype(np.int64), low >> bits
     new = inside.copy()
-    new[1:] &= (c[1:] != c[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+    new[1:] &= (value[1:] != value[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
-    run = np.cumsum(new)[inside]
-    last = np.flatnonzero(inside)[np.flatnonzero(np.diff(run, append=run[-1] + 1 if len(run) else 0))]
+    last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
+    for a, b in zip(first[tied := c[first] != c[last]].tolist(), last[tied].tolist()):
+        a = int(c[a]) + 1
+        while a <= b:
+            new[a] = True
+            a = int(c[a]) + 1
+    first = np.flatnonzero(new)
+    last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
     base = splits[text[first]]
     return text[first], c[first] - base, first - base, last + least - base
 
@@ -95,6 +107,66 @@ def segments(same: np.ndarray, least: int, share: float) -> list[tuple[int, int,
     return out
 
 
+def _leads(wins: DataFrame) -> DataFrame:
+    """The first document, and its first place, of each key that several documents have."""
+    lead = wins.where("first").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at"))
+    return common.materialise(lead.where("rep <> other").select("key", "rep", "at"), "leads")
+
+
+def _aligned(src: DataFrame, least: int, functions: int, enough: int) -> DataFrame:
+    """``doc_id, rep, shift, lo, hi``: a document's places that windows align with its representative's, less ``shift``."""
+    wins = common.materialise(_windows(src, least, functions), "compact", "lz4")
+    lead = _leads(wins)
+    common.free_shuffles(src.sparkSession)
+    both = wins.join(lead, "key").where("doc_id <> rep")
+    part = lambda col, shift, mask: F.shiftright(col, shift).bitwiseAND(F.lit(mask))
+    before = F.least(part("place", 10, 1023), part("at", 10, 1023))
+    after = F.least(F.col("place").bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023)))
+    c = F.shiftright("place", 20)
+    cand = both.where(before + after >= least).select("doc_id", "rep", (c - F.shiftright("at", 20)).alias("shift"), (c - before).alias("lo"), (c + after).alias("hi"), "key")
+    found = [F.count_distinct("key").alias("hashes")] if enough > 1 else []
+    pairs = cand.groupBy("doc_id", "rep", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *found)
+    # no more alignments than the members have windows
+    pairs = common.materialise(pairs.where(F.col("hashes") >= enough).drop("hashes") if found else pairs, "aligned")
+    common.discard(wins)
+    return pairs
+
+
+def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rep, doc_id, shift, is_member, at, body``: the two stretches of text, from word ``at``, of each alignment.
+
+    A document's stretches are cut in tasks of about ``SALT_ROWS`` of them, so none is held for all its partners.
+    """
+    begin = F.greatest(F.col("lo") - F.lit(MARGIN), F.lit(0), F.col("shift"))
+    end = F.col("hi") + MARGIN + WIDTH - 1
+    side = lambda owner, member, by: F.struct(F.col(owner).alias("owner"), F.lit(member).alias("is_member"), (begin - by).alias("at"), (end - by).alias("end"))
+    asked = pairs.select("rep", "doc_id", "shift", F.explode(F.array(side("doc_id", True, F.lit(0)), side("rep", False, F.col("shift")))).alias("s")).select("rep", "doc_id", "shift", "s.*")
+    salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    salted = asked.join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id", "shift"), F.col("salts")))
+    need = salted.groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "shift", "is_member", "at", "end")).alias("asked"))
+    need = common.materialise(need.select("owner", "asked"), "needed")
+    if pairs.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    ddl = "rep long, doc_id long, shift long, is_member boolean, at long, body binary"
+    schema = common.arrow_schema(ddl)
+
+    def run(batches):
+        for b in batches:
+            out = {k: [] for k in schema.names}
+            for body, asked in zip(b.column("body").to_pylist(), b.column("asked").to_pylist()):
+                starts, ends = shingle.word_places(body, common.AZ_TABLE)
+                for q in asked:
+                    a, z = q["at"], min(q["end"], len(starts))
+                    if a < z:
+                        for name in ("rep", "doc_id", "shift", "is_member", "at"):
+                            out[name].append(q[name])
+                        out["body"].append(body[starts[a] : ends[z - 1]])
+            yield common.emit(out, schema)
+
+    held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").select("body", "asked")
+    return held.mapInArrow(run, ddl)
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_words, match_doc_id, match_start, similarity``: passages of ``words`` words or more that an earlier document has.
 
@@ -102,55 +174,40 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     representative, with the smaller id. Documents without such passages, null and empty texts and rows
     without an id give no rows; rows that repeat an id are one document.
     """
-    if words < WIDTH + 1:
-        raise ValueError("a passage has at least six words")
+    if not WIDTH < words <= 500:
+        raise ValueError("words must be from 6 to 500")
     src, least = common.documents(docs, id_col, text_col), words - WIDTH + 1
     spark = docs.sparkSession
-    wins = common.materialise(_windows(src, least, functions), "compact", "lz4")
-    lead = wins.where("first").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at")).where("rep <> other")
-    both = wins.join(lead.select("key", "rep", "at"), "key").where("doc_id <> rep")
-    part = lambda col, shift, mask: F.shiftright(col, shift).bitwiseAND(F.lit(mask))
-    before = F.least(part("place", 10, 1023), part("at", 10, 1023))
-    after = F.least(F.col("place").bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023)))
-    shift = (F.shiftright("place", 20) - F.shiftright("at", 20)).alias("shift")
-    cand = both.where(before + after >= least).select("doc_id", "rep", shift, "key")
-    cand = cand.groupBy("doc_id", "rep", "shift").agg(F.count_distinct("key").alias("hashes") if enough > 1 else F.lit(1).alias("hashes")).where(F.col("hashes") >= enough)
-    # alignments of one pair of documents: no more than the member has windows
-    pairs = common.materialise(cand.groupBy("doc_id", "rep").agg(F.collect_set("shift").alias("shifts")), "aligned")
+    pairs = _aligned(src, least, functions, enough)
     common.free_shuffles(spark)
-    salts = pairs.groupBy("rep").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(salts, "rep").select("rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id", "shifts")
-    heads = salted.select("rep", "salt", F.col("rep").alias("doc_id"), F.lit(None).cast("array<long>").alias("shifts")).dropDuplicates(["rep", "salt"])
-    need = common.materialise(salted.union(heads), "needed")
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    held = src.join(need, "doc_id").withColumn("is_member", F.col("shifts").isNotNull()).repartition("rep", "salt").sortWithinPartitions("rep", "salt", "is_member")
+    held = _slices(src, pairs)
+    common.free_shuffles(spark)
+    key = ("rep", "doc_id", "shift")
+    held = held.repartition(*key).sortWithinPartitions(*key, "is_member")
     share = 2 * percent / (100 + percent)  # equal places of aligned stretches with that Jaccard
     ddl = "doc_id long, start long, n_words long, match_doc_id long, match_start long, similarity double"
     schema = common.arrow_schema(ddl)
 
     def run(batches):
-        at, rep = None, None
+        met, rep = None, None
         for b in batches:
             bodies = b.column("body").to_pylist()
-            names = ("rep", "salt", "is_member", "doc_id", "shifts")
-            rows = list(zip(*(b.column(c).to_pylist() for c in names)))
+            rows = list(zip(*(b.column(c).to_pylist() for c in (*key, "is_member", "at"))))
             for x, y in shingle.chunks(bodies):
                 tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
                 out = {k: [] for k in schema.names}
-                for i, (r, salt, is_member, key, shifts) in enumerate(rows[x:y]):
+                for i, (r, k, shift, is_member, at) in enumerate(rows[x:y]):
                     own = tok[splits[i] : splits[i + 1]]
                     if not is_member:
-                        at, rep = (r, salt), own.copy()
+                        met, rep = (r, k, shift), own.copy()
                         continue
-                    if at != (r, salt):
+                    if met != (r, k, shift):  # the other row of a repeated id
                         continue
-                    for s in sorted(shifts):
-                        a, z = max(0, s), min(len(own), len(rep) + s)
-                        for lo, hi, n in segments(own[a:z] == rep[a - s : z - s], least, share) if z - a >= least else ():
-                            row = (key, a + lo, hi - lo + WIDTH - 1, r, a + lo - s, n / (2 * (hi - lo) - n))
-                            for name, v in zip(schema.names, row):
-                                out[name].append(v)
+                    met, n = None, min(len(own), len(rep))
+                    for lo, hi, same in segments(own[:n] == rep[:n], least, share):
+                        row = (k, at + lo, hi - lo + WIDTH - 1, r, at + lo - shift, same / (2 * (hi - lo) - same))
+                        for name, v in zip(schema.names, row):
+                            out[name].append(v)
                 yield common.emit(out, schema)
 
     return held.mapInArrow(run, ddl).distinct()
@@ -167,12 +224,10 @@ def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col:
     import pyarrow as pa
 
     schema = joined.schema
-    space = np.frombuffer(common.AZ_TABLE, np.uint8) == 0x20
 
     def cut(body: bytes, own) -> bytes:
         raw = np.frombuffer(body, np.uint8)
-        edge = np.diff((~space[raw]).astype(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, ends = shingle.word_places(body, common.AZ_TABLE)
         keep = np.ones(len(raw), bool)
         for s in own:
             a, n = s["start"], s["n_words"]

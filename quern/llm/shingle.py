@@ -35,6 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def word_places(body: bytes, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of one text's words in bytes."""
+    word = ~_BLANK[np.frombuffer(body.translate(table), np.uint8)]
+    edge = np.diff(word.view(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_hashes(bodies: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, splits by text): words are what ``table`` leaves between blanks."""
     joined = b"\n".join(bodies).translate(table) + b"\n"
