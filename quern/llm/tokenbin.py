@@ -38,6 +38,8 @@ MASS2 = np.array([0.002, 0.35, 0.6, 0.75, 0.85, 0.9, 0.94, 0.96]) * TOTAL
 MASS2 = MASS2.astype(np.uint64)
 MASS1 = (np.array([0.002, 0.12, 0.3, 0.45, 0.6, 0.7, 0.78, 0.85]) * (1 << 20)).astype(np.uint64)
 RENEW = 64
+#: Stands for a null document id in a segment.
+NULL_ID = -(1 << 63)
 
 
 class Order0:
@@ -282,7 +284,7 @@ def write_segment(doc_ids: list[int], lengths: list[int], raw: bytes) -> bytes:
     coded = encode_ids(ids.astype(np.int64), Order0(seen.astype(np.int64), counts))
     sums = [zlib.crc32(raw[4 * i * BLOCK : 4 * (i + 1) * BLOCK]) for i in range(len(coded))]
     head = b"".join((
-        np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), np.diff(seen, prepend=0).astype("<u4").tobytes(),
+        np.array([NULL_ID if k is None else k for k in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), np.diff(seen, prepend=0).astype("<u4").tobytes(),
         counts.astype("<u2").tobytes(), np.array([len(c) for c in coded], "<u4").tobytes(), np.array(sums, "<u4").tobytes(),
     ))
     head = zlib.compress(head, 1)
@@ -311,7 +313,7 @@ def read_segment(data: bytes) -> tuple[list[int], list[int], bytes]:
     for i, want in enumerate(sums.tolist()):
         if zlib.crc32(raw[4 * i * BLOCK : 4 * (i + 1) * BLOCK]) != want:
             raise ValueError(f"block {i}: checksum mismatch")
-    return doc_ids.tolist(), lengths.tolist(), raw
+    return [None if k == NULL_ID else k for k in doc_ids.tolist()], lengths.tolist(), raw
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, text_col: str = "text", id_col: str = "doc_id", segment_ids: int = 2_000_000) -> DataFrame:
@@ -320,7 +322,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, tex
     Returns the stored table ``(part, seq, n_docs, n_ids, inside, data)``: ``data`` is a segment, ``part`` the
     range of document ids it is in, ``seq`` its place there, ``inside`` the number of ids before it there. Spark's writer commits the files, so lost tasks are
     redone whole. Null and empty texts have ``end_id`` only, or no ids. A document is never split between
-    segments; one holds about ``segment_ids`` ids. Repeated document ids stay apart, in any order.
+    segments; one holds about ``segment_ids`` ids. Repeated document ids stay apart, in any order; null
+    ids come first.
     """
     spark = docs.sparkSession
     src = common.documents(docs, id_col, text_col)
