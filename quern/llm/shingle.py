@@ -65,7 +65,7 @@ def shingle_hashes(words: np.ndarray, splits: np.ndarray, width: int, short: boo
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(len(splits), np.int64)
     total = np.zeros(len(words), np.uint64)
-    for i in range(width):
+    for i in range(min(width, len(words))):
         total[: len(words) - i] += words[i:] * _STEP[i]
     count = np.maximum(n - width + 1, 0)
     few = (n > 0) & (n < width) if short else np.zeros(len(n), bool)
