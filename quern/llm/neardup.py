@@ -5,9 +5,10 @@ the hash evaluations make a signature of the same length, each value agreeing wi
 probability. Values are grouped into bands; documents that share a band are candidates.
 
 Equal sets are one representative from the start. Within a band's bucket every member is compared with the
-bucket's least document, on the full sets; buckets that still hold several components then get further
-rounds, with other representatives, until a round links nothing. Buckets are reduced by grouped minima and
-joins, so no bucket is gathered in one row or task, and pairs grow with the bucket, not its square.
+bucket's least and greatest documents, on the full sets; these are found by grouped minima and joins, so pairs
+grow with the bucket, not its square. Buckets whose other members are of several components then are compared
+exactly: the members outside a bucket's main component, in blocks, are leads,
+and all members stream past each block, so every two members of different components have met.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ _MIXERS = np.random.default_rng(9).integers(0, 2**63, ROWS, dtype=np.uint64) * n
 #: So many candidate rows at most are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Members of one representative that one task compares, about.
-SALT_ROWS = 256
+SALT_ROWS = 64
+#: Leads of a block, and members that one task streams past it, in the exact comparison, about.
+BLOCK, STREAM = 64, 512
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -57,7 +60,7 @@ def _signatures(src: DataFrame, width: int) -> DataFrame:
                     out["bands"].append(band_keys(own).view(np.int64).tolist() if len(own) else [])
                 yield common.emit(out, schema)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(common.tidy(run), ddl)
 
 
 def verified(src: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -94,10 +97,75 @@ def verified(src: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
                         out["v"].append(r)
             yield common.emit(out, schema)
 
-    return held.mapInArrow(run, ddl)
+    return held.mapInArrow(common.tidy(run), ddl)
+
+
+class Leads:
+    """Sets of hashes, each of a root, that other sets are counted against at once."""
+
+    def __init__(self):
+        self.keys, self.roots, self.sets, self.flat = [], [], [], None
+
+    def add(self, key: int, root: int, own: np.ndarray) -> None:
+        self.keys.append(key)
+        self.roots.append(root)
+        self.sets.append(own)
+        self.flat = None
+
+    def links(self, own: np.ndarray, root: int, percent: int) -> list[int]:
+        """The leads of other roots with at least ``percent`` % similarity, one a root."""
+        if self.flat is None:
+            self.sizes = np.array([len(x) for x in self.sets])
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        same = np.bincount(self.owner[at], minlength=len(self.sets))
+        near = np.flatnonzero(100 * same >= percent * (self.sizes + len(own) - same))
+        return list({self.roots[i]: self.keys[i] for i in near.tolist() if self.roots[i] != root}.values())
+
+
+def _exact_links(src: DataFrame, left: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links, enough to join what is linked, of every two members of different roots in the buckets ``left (key, doc_id, root)``."""
+    per = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    per = per.select("key", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / STREAM).cast("int").alias("salts"))
+    at = common.materialise(left.join(per, "key"), "residual")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lead = at.where("root <> main").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int")).withColumn("salt", cells("salts"))
+    past = at.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")).cast("int")).withColumn("block", cells("blocks"))
+    names = ("key", "block", "salt")
+    need = lead.select(*names, F.lit(False).alias("is_member"), "doc_id", "root").union(past.select(*names, F.lit(True).alias("is_member"), "doc_id", "root"))
+    need = common.materialise(need, "blocks")
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    held = src.join(need, "doc_id").repartition(*names).sortWithinPartitions(*names, "is_member")
+    ddl = "u long, v long"
+    schema = common.arrow_schema(ddl)
+
+    def run(batches):
+        met, leads = None, Leads()
+        for b in batches:
+            out = {"u": [], "v": []}
+            sets = iter(shingle.shingle_sets(b.column("body").to_pylist(), width))
+            for *where, is_member, key, root in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "root"))):
+                own = next(sets)
+                if met != where:
+                    met, leads = where, Leads()
+                if not is_member:
+                    leads.add(key, root, own)
+                elif leads.keys:
+                    for x in leads.links(own, root, percent):
+                        out["u"].append(key)
+                        out["v"].append(x)
+            yield common.emit(out, schema)
+
+    return held.mapInArrow(common.tidy(run), ddl)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, rounds: int = 6, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document; links are confirmed on full sets.
 
     ``component_id`` is the smallest document id reachable over links, ``kept`` whether it is the document's
@@ -110,22 +178,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, rounds:
     reps = common.materialise(reps, "reps")
     lone = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = common.materialise(lone.select(F.explode("bands").alias("key"), "doc_id"), "bands", "lz4")
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep")
-    rows = common.materialise(rows.join(size, "key").select("key", "doc_id", "rep"), "buckets", "lz4")
+    ends = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last")
+    rows = common.materialise(rows.join(ends, "key"), "buckets", "lz4")
     common.free_shuffles(docs.sparkSession)
-    edges = common.materialise(verified(src, rows.where("doc_id <> rep").select("rep", F.col("doc_id").alias("member")).distinct(), width, percent), "links")
+    first, last = rows.where("doc_id <> rep").select("rep", F.col("doc_id").alias("member")), rows.where("doc_id <> rep AND doc_id <> last").select("last", "doc_id")
+    edges = common.materialise(verified(src, first.union(last).distinct(), width, percent), "links")
     roots = common.components(edges, "u", "v")
-    for turn in range(1, rounds):
-        own = rows.join(roots, rows.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        # another representative each time: the last, then by a hash of the turn
-        lead = F.struct((-F.col("doc_id") if turn == 1 else F.xxhash64("doc_id", F.lit(turn))).alias("o"), F.col("doc_id"), F.col("root"))
-        lead = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(lead).alias("lead")).where("a <> b").select("key", "lead")
-        pairs = own.join(lead, "key").where("root <> lead.root").select(F.col("lead.doc_id").alias("rep"), F.col("doc_id").alias("member")).distinct()
-        found = common.materialise(verified(src, pairs, width, percent), "links")
-        if found.isEmpty():
-            break
-        edges = edges.union(found)
-        roots = common.components(edges, "u", "v")
+    # the ends have been compared with their whole bucket
+    left = rows.where("doc_id <> rep AND doc_id <> last").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = common.materialise(left.join(several, "key"), "left")
+    if not left.isEmpty():
+        found = common.materialise(_exact_links(src, left, width, percent), "links")
+        if not found.isEmpty():
+            roots = common.components(edges.union(found), "u", "v")
     named = reps.join(roots, reps.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
