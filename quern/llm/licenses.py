@@ -135,7 +135,7 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[byt
                     df[w] += 1
         yield common.emit({"word": list(df), "df": list(df.values())}, schema)
 
-    rows = docs.select("body").mapInArrow(run, ddl).groupBy("word").agg(F.sum("df").alias("df")).collect()
+    rows = docs.select("body").mapInArrow(common.tidy(run), ddl).groupBy("word").agg(F.sum("df").alias("df")).collect()
     df = {bytes(r.word): r.df for r in rows}
     return df, df.pop(b"", 0)
 
@@ -165,4 +165,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                     out[name].append(v)
             yield common.emit(out, schema)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(common.tidy(run), ddl)

@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text_col
                     out["ids_crc32"].append(zlib.crc32(own))
             yield common.emit(out, schema)
 
-    return common.documents(docs, id_col, text_col).mapInArrow(run, ddl)
+    return common.documents(docs, id_col, text_col).mapInArrow(common.tidy(run), ddl)
 
 
 def _patterns(sizes: list[int], left: list[int], capacity: int) -> list[int]:
@@ -222,7 +222,7 @@ def pack(items: DataFrame, capacity: int, id_cols: tuple[str, ...] = ("doc_id",
             names = [n for n in b.schema.names if n != "_rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seqs), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(common.tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -88,7 +88,7 @@ def _windows(src: DataFrame, least: int, functions: int) -> DataFrame:
                     place = c << 20 | (c - start) << 10 | (end - c)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[x + text], pa.int64()), pa.array(place), pa.array(first)], schema=schema)
 
-    return src.where("doc_id is not null").mapInArrow(run, ddl)
+    return src.where("doc_id is not null").mapInArrow(common.tidy(run), ddl)
 
 
 def segments(same: np.ndarray, least: int, share: float) -> list[tuple[int, int, int]]:
@@ -143,7 +143,8 @@ def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select("rep", "doc_id", "shift", F.explode(F.array(side("doc_id", True, F.lit(0)), side("rep", False, F.col("shift")))).alias("s")).select("rep", "doc_id", "shift", "s.*")
     salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     salted = asked.join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id", "shift"), F.col("salts")))
-    need = salted.groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "shift", "is_member", "at", "end")).alias("asked"))
+    # dealt by the salt too: a document that is many others' representative would else meet in one task
+    need = salted.repartition("owner", "salt").groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "shift", "is_member", "at", "end")).alias("asked"))
     need = common.materialise(need.select("owner", "asked"), "needed")
     if pairs.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
@@ -164,7 +165,7 @@ def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
             yield common.emit(out, schema)
 
     held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").select("body", "asked")
-    return held.mapInArrow(run, ddl)
+    return held.mapInArrow(common.tidy(run), ddl)
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -210,7 +211,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
                             out[name].append(v)
                 yield common.emit(out, schema)
 
-    return held.mapInArrow(run, ddl).distinct()
+    return held.mapInArrow(common.tidy(run), ddl).distinct()
 
 
 def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -243,4 +244,4 @@ def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col:
             yield pa.RecordBatch.from_arrays([pa.array(new, c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
     clean = joined.where("_spans is null").drop("_spans")
-    return clean.unionByName(joined.where("_spans is not null").mapInArrow(run, schema).drop("_spans").select(*clean.columns))
+    return clean.unionByName(joined.where("_spans is not null").mapInArrow(common.tidy(run), schema).drop("_spans").select(*clean.columns))

@@ -496,7 +496,7 @@ def decode_images(media: DataFrame, media_col: str = "media", id_col: str = "id"
                     x, why = None, str(e)
                 yield common.emit({"id": [key], "height": [None if x is None else x.shape[0]], "width": [None if x is None else x.shape[1]], "rgb": [None if x is None else x.tobytes()], "error": [why]}, arrow)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(common.tidy(run), ddl)
 
 
 def media_digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -525,4 +525,4 @@ def media_digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                     out[name].append(v)
             yield common.emit(out, schema)
 
-    return common.documents(docs, id_col, text_col).mapInArrow(run, ddl)
+    return common.documents(docs, id_col, text_col).mapInArrow(common.tidy(run), ddl)

@@ -151,7 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
             yield common.emit({"at": [g[0].astype("<i4").tobytes() for g in got], "weight": [g[1].tobytes() for g in got], "stats": [[float(x) for x in g[2]] for g in got], "y": b.column("y").to_pylist()}, schema)
 
     # the sample has at most train_rows rows
-    rows = src.join(F.broadcast(sample), "doc_id").select("body", "y").mapInArrow(features, ddl).collect()
+    rows = src.join(F.broadcast(sample), "doc_id").select("body", "y").mapInArrow(common.tidy(features), ddl).collect()
     found = sorted((bytes(r.at), bytes(r.weight), list(r.stats), r.y) for r in rows)
     model = fit_quality([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(w, np.float32), s, y) for a, w, s, y in found])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,4 +166,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
                 s = m.scores(part.column("body").to_pylist())
                 yield common.emit({"doc_id": part.column("doc_id").to_pylist(), "held_out": part.column("held_out").to_pylist(), "score": s.tolist(), "predicted": (s >= 0.5).astype(int).tolist()}, out_schema)
 
-    return src.select("doc_id", F.coalesce(held_out("doc_id", folds, fold), F.lit(False)).alias("held_out"), "body").mapInArrow(score, ddl_out)
+    return src.select("doc_id", F.coalesce(held_out("doc_id", folds, fold), F.lit(False)).alias("held_out"), "body").mapInArrow(common.tidy(score), ddl_out)

@@ -355,7 +355,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, tex
         if ids:
             yield flush()
 
-    return common.materialise(src.mapInArrow(run, ddl), "tokens", "uncompressed")
+    return common.materialise(src.mapInArrow(common.tidy(run), ddl), "tokens", "uncompressed")
 
 
 def read_tokens(stored: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -386,4 +386,4 @@ def read_tokens(stored: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield common.emit(out, schema)
 
     located = stored.select("part", "inside", "data").join(F.broadcast(parts), "part")
-    return located.select((F.col("before") + F.col("inside")).alias("start"), "data").mapInArrow(run, ddl)
+    return located.select((F.col("before") + F.col("inside")).alias("start"), "data").mapInArrow(common.tidy(run), ddl)

@@ -41,7 +41,7 @@ class IdEncoder:
     ``chunks``: so many chunks are remembered at most, and as many of the previous generation.
     """
 
-    def __init__(self, path: str, chunks: int = 700_000):
+    def __init__(self, path: str, chunks: int = 200_000):
         import json
 
         from tokenizers import Tokenizer

@@ -13,7 +13,7 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +133,7 @@ class ToxicityModel:
             at = min(int(np.searchsorted(self.ends, self.vote(near))), len(self.ends) - 1)
             score = float(min(max(self.values[at], 0.0), 1.0))
             got = (score, [self.ids[i] for _, i in near[:3]], [s for s, _ in near[:3]])
-            if len(self.known) < 50_000 and len(key) < 12:
+            if len(self.known) < 10_000 and len(key) < 6:
                 self.known[key] = got
         return got
 
@@ -165,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
 
     # at most train_rows examples
     one = src.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    held = common.materialise(one.select("doc_id", "y", "body").mapInArrow(explode, ddl), "examples")
+    held = common.materialise(one.select("doc_id", "y", "body").mapInArrow(common.tidy(explode), ddl), "examples")
     about = {r.doc_id: r.y for r in held.select("doc_id", "y").distinct().collect()}
     counts = held.where(F.length("word") > 0).groupBy("word").agg(F.sum("y").alias("n11"), F.count("*").alias("n1"))
     chosen = [bytes(r.word) for r in dependent_words(counts, len(about), sum(about.values())).collect()]
@@ -200,15 +200,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
                 "predicted": [int(g[0] >= threshold) for g in got], "nearest_ids": [g[1] for g in got], "nearest_cosines": [g[2] for g in got],
             }, out_schema)
 
-    return src.select("doc_id", F.coalesce(held_out("doc_id", folds, fold), F.lit(False)).alias("held_out"), "body").mapInArrow(run, ddl_out)
+    return src.select("doc_id", F.coalesce(held_out("doc_id", folds, fold), F.lit(False)).alias("held_out"), "body").mapInArrow(common.tidy(run), ddl_out)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that score under ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options))
 
-    def score(bodies: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(bytes(x))[0] for x in bodies], dtype="float64")
+    def run(batches):
+        for b in batches:
+            bodies = b.column(text_col).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([shared.value.score(x or b"")[0] < threshold for x in bodies], pa.bool_()))
 
-    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
-    return docs.where(F.pandas_udf(score, "double")(body) < threshold)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

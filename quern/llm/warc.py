@@ -129,7 +129,7 @@ def derivatives(responses: DataFrame, record_col: str = "record", key_col: str =
                         out[name].append(v)
             yield common.emit(out, schema)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(common.tidy(run), ddl)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -144,7 +144,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             rows = zip(*(b.column(c).to_pylist() for c in ("key", "url", "html")))
             yield common.emit({"key": b.column("key").to_pylist(), "record": [response(*r) for r in rows]}, schema)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(common.tidy(run), ddl)
 
 
 def derivative_digests(pages: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def derivative_digests(pages: DataFrame) -> DataFrame:
                     out[name].append(v)
             yield common.emit(out, schema)
 
-    return made.select("key", "type", "record").mapInArrow(run, ddl)
+    return made.select("key", "type", "record").mapInArrow(common.tidy(run), ddl)
