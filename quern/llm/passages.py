@@ -6,10 +6,10 @@ Cartesian tree of the token hashes. Only nodes wide enough to hold such a subseq
 the places that are the minimum of some window of ``least`` tokens, so they are found, for whole batches,
 by sliding minima. A rectangle's sides are kept as far as windows of ``least`` tokens reach.
 
-Windows are grouped by (function, min-hash); a group's first document is its representative. A member and
-its representative are aligned at the shared token and their intervals intersected; what is still ``least``
-tokens long is a candidate, with the number of functions that found it. The stretches of text that candidates
-of one alignment span, and a margin, are cut from both documents and verified token by token.
+Windows are grouped by (function, min-hash); a group's first document is its representative. The stretches of
+text that the shared windows of a member and its representative span, and a margin, are cut from both documents.
+Their runs of equal tokens, on whatever diagonals, are chained, and a chain is a passage if its two sets of
+shingles are alike enough.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ _FACTORS = np.random.default_rng(77).integers(0, 2**63, 32, dtype=np.uint64) * U
 BROADCAST_ROWS = 50_000
 #: Stretches of one document that one task cuts, about.
 SALT_ROWS = 256
-#: Tokens on either side of an alignment's windows that are compared as well.
-MARGIN = 46
+#: Tokens on either side of a pair's windows that are compared as well, and between windows that are compared in one stretch.
+MARGIN, JOINED = 46, 512
+#: Pairs of equal tokens that are held at once when two stretches are compared, about.
+PAIRS = 1 << 21
 
 
 def compact_windows(tokens: np.ndarray, splits: np.ndarray, least: int, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,64 +93,126 @@ def _windows(src: DataFrame, least: int, functions: int) -> DataFrame:
     return src.where("doc_id is not null").mapInArrow(common.tidy(run), ddl)
 
 
-def segments(same: np.ndarray, least: int, share: float) -> list[tuple[int, int, int]]:
-    """(from, to, equal) stretches of at least ``least`` places of which ``share`` agree, made of runs of agreement."""
-    edge = np.diff(same.astype(np.int8), prepend=0, append=0)
-    out, cur = [], None
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-        if cur and cur[2] + b - a >= share * (b - cur[0]):
-            cur = (cur[0], b, cur[2] + b - a)
+def _runs(own: np.ndarray, rep: np.ndarray, order: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``(i, j, length)`` of each maximal diagonal run of equal tokens, ``order`` sorting ``rep``, ``lo`` and ``n`` the equal ones of each of ``own``."""
+    i = np.repeat(np.arange(len(own)), n)
+    j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    at = np.flatnonzero(new)
+    return np.stack((i[at], j[at], np.diff(np.append(at, len(i)))), axis=1)
+
+
+def _chain(runs: np.ndarray, seed: np.ndarray, percent: int) -> tuple[int, int, int, int]:
+    """``(lo, hi, match_lo, match_hi)`` of a run and those before and after it that keep the similarity at ``percent`` %."""
+    lo, a, n = seed.tolist()
+    hi, b, equal = lo + n, a + n, n
+    ri, rj, rn = runs.T
+    while True:
+        skip = np.maximum(np.maximum(hi - ri, b - rj), 0)  # what of a later run is before the end
+        after = rn - skip
+        drop = np.maximum(np.maximum(ri + rn - lo, rj + rn - a), 0)
+        before = rn - drop
+        best = None
+        for more, total in ((after, (ri + rn - lo) + (rj + rn - a)), (before, (hi - ri) + (b - rj))):
+            ok = np.flatnonzero((more > 0) & ((100 + percent) * (equal + more) >= percent * total))
+            if len(ok):
+                at = ok[np.argmax((100 + percent) * more[ok] - percent * total[ok])]
+                gain = (100 + percent) * int(more[at]) - percent * int(total[at])
+                if best is None or gain > best[0]:
+                    best = gain, int(at), int(more[at]), more is after
+        if best is None:
+            return lo, hi, a, b
+        _, at, more, later = best
+        equal += more
+        if later:
+            hi, b = int(ri[at] + rn[at]), int(rj[at] + rn[at])
         else:
-            if cur and cur[1] - cur[0] >= least:
-                out.append(cur)
-            cur = (a, b, b - a)
-    if cur and cur[1] - cur[0] >= least:
-        out.append(cur)
+            lo, a = int(ri[at]), int(rj[at])
+
+
+def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, float]]:
+    """``(from, to, match_from, similarity)`` stretches of ``least`` tokens or more whose sets agree by ``percent`` % with one of ``rep``.
+
+    Runs of equal tokens on any diagonals are chained from the longest on, so that inserted and deleted words
+    only part runs. Runs inside a stretch already found give no further one. Of texts with more than ``PAIRS``
+    pairs of equal tokens, as one line repeated without end has, the runs are made and chained part by part.
+    """
+    order = np.argsort(rep, kind="stable")
+    flat = rep[order]
+    lo = np.searchsorted(flat, own, "left")
+    n = np.searchsorted(flat, own, "right") - lo
+    if np.count_nonzero(n) * (100 + percent) < 2 * percent * least:
+        return []
+    total, done, out, start = np.cumsum(n), np.zeros(len(own) + 1, np.int64), [], 0
+    while start < len(own):
+        base = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, base + PAIRS, "right")))
+        if not done[start:end].all() and total[end - 1] > base:
+            runs = _runs(own[start:end], rep, order, lo[start:end], n[start:end])
+            runs[:, 0] += start
+            for k in np.argsort(-runs[:, 2], kind="stable").tolist():
+                i, j, m = runs[k].tolist()
+                if done[i : i + m].all():
+                    continue
+                seed = runs[k]
+                if end - start < len(own):  # a part: the run itself goes on outside it
+                    grow = min(len(own) - i, len(rep) - j)
+                    off = np.flatnonzero(own[i : i + grow] != rep[j : j + grow])
+                    seed = np.array((i, j, int(off[0]) if len(off) else grow))
+                for x, y, a, b in (_chain(runs, seed, percent), (int(seed[0]), int(seed[0] + seed[2]), int(seed[1]), int(seed[1] + seed[2]))):
+                    if min(y - x, b - a) >= least:
+                        u, v = np.unique(own[x:y]), np.unique(rep[a:b])
+                        same = len(np.intersect1d(u, v, assume_unique=True))
+                        if 100 * same >= percent * (len(u) + len(v) - same):
+                            out.append((x, y, a, same / (len(u) + len(v) - same)))
+                            done[x:y] = 1
+                            break
+        start = end
     return out
 
 
 def _leads(wins: DataFrame) -> DataFrame:
     """The first document, and its first place, of each key that several documents have."""
     lead = wins.where("first").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at"))
-    return common.materialise(lead.where("rep <> other").select("key", "rep", "at"), "leads")
+    return common.materialise(lead.where("rep <> other").select("key", "rep", F.array("at").alias("at")), "leads")
 
 
-def _aligned(src: DataFrame, least: int, functions: int, enough: int) -> DataFrame:
-    """``doc_id, rep, shift, lo, hi``: a document's places that windows align with its representative's, less ``shift``."""
-    wins = common.materialise(_windows(src, least, functions), "compact", "lz4")
-    lead = _leads(wins)
-    common.free_shuffles(src.sparkSession)
-    both = wins.join(lead, "key").where("doc_id <> rep")
-    part = lambda col, shift, mask: F.shiftright(col, shift).bitwiseAND(F.lit(mask))
-    before = F.least(part("place", 10, 1023), part("at", 10, 1023))
-    after = F.least(F.col("place").bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023)))
-    c = F.shiftright("place", 20)
-    cand = both.where(before + after >= least).select("doc_id", "rep", (c - F.shiftright("at", 20)).alias("shift"), (c - before).alias("lo"), (c + after).alias("hi"), "key")
+def _pairs(both: DataFrame, enough: int) -> DataFrame:
+    """``doc_id, rep, mine, theirs``: the windows of a document and of an earlier one that have keys ``(key, doc_id, place, rep, at)`` in common."""
     found = [F.count_distinct("key").alias("hashes")] if enough > 1 else []
-    pairs = cand.groupBy("doc_id", "rep", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *found)
-    # no more alignments than the members have windows
-    pairs = common.materialise(pairs.where(F.col("hashes") >= enough).drop("hashes") if found else pairs, "aligned")
-    common.discard(wins)
-    return pairs
+    pairs = both.groupBy("doc_id", "rep").agg(F.collect_set("place").alias("mine"), F.array_distinct(F.flatten(F.collect_set("at"))).alias("theirs"), *found)
+    return pairs.where(F.col("hashes") >= enough).drop("hashes") if found else pairs
+
+
+def stretches(places: list[int]) -> list[tuple[int, int]]:
+    """The places that windows and their margins cover, those near each other as one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(((p >> 20) - (p >> 10 & 1023) - MARGIN, (p >> 20) + (p & 1023) + MARGIN) for p in places):
+        if out and lo <= out[-1][1] + JOINED:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([max(lo, 0), hi])
+    return [(a, z) for a, z in out]
 
 
 def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rep, doc_id, shift, is_member, at, body``: the two stretches of text, from word ``at``, of each alignment.
+    """``rep, doc_id, is_member, at, body``: the stretches of text, from word ``at``, of both documents of each pair.
 
     A document's stretches are cut in tasks of about ``SALT_ROWS`` of them, so none is held for all its partners.
     """
-    begin = F.greatest(F.col("lo") - F.lit(MARGIN), F.lit(0), F.col("shift"))
-    end = F.col("hi") + MARGIN + WIDTH - 1
-    side = lambda owner, member, by: F.struct(F.col(owner).alias("owner"), F.lit(member).alias("is_member"), (begin - by).alias("at"), (end - by).alias("end"))
-    asked = pairs.select("rep", "doc_id", "shift", F.explode(F.array(side("doc_id", True, F.lit(0)), side("rep", False, F.col("shift")))).alias("s")).select("rep", "doc_id", "shift", "s.*")
+    side = lambda owner, member, places: F.struct(F.col(owner).alias("owner"), F.lit(member).alias("is_member"), F.col(places).alias("places"))
+    asked = pairs.select("rep", "doc_id", F.explode(F.array(side("doc_id", True, "mine"), side("rep", False, "theirs"))).alias("s")).select("rep", "doc_id", "s.*")
     salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = asked.join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id", "shift"), F.col("salts")))
+    salted = asked.join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id"), F.col("salts")))
     # dealt by the salt too: a document that is many others' representative would else meet in one task
-    need = salted.repartition("owner", "salt").groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "shift", "is_member", "at", "end")).alias("asked"))
+    need = salted.repartition("owner", "salt").groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "is_member", "places")).alias("asked"))
     need = common.materialise(need.select("owner", "asked"), "needed")
     if pairs.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
-    ddl = "rep long, doc_id long, shift long, is_member boolean, at long, body binary"
+    ddl = "rep long, doc_id long, is_member boolean, at long, body binary"
     schema = common.arrow_schema(ddl)
 
     def run(batches):
@@ -157,63 +221,78 @@ def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
             for body, asked in zip(b.column("body").to_pylist(), b.column("asked").to_pylist()):
                 starts, ends = shingle.word_places(body, common.AZ_TABLE)
                 for q in asked:
-                    a, z = q["at"], min(q["end"], len(starts))
-                    if a < z:
-                        for name in ("rep", "doc_id", "shift", "is_member", "at"):
-                            out[name].append(q[name])
-                        out["body"].append(body[starts[a] : ends[z - 1]])
+                    for a, z in stretches(q["places"]):
+                        z = min(z + WIDTH - 1, len(starts))
+                        if a < z:
+                            for name in ("rep", "doc_id", "is_member"):
+                                out[name].append(q[name])
+                            out["at"].append(a)
+                            out["body"].append(body[starts[a] : ends[z - 1]])
             yield common.emit(out, schema)
 
     held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").select("body", "asked")
     return held.mapInArrow(common.tidy(run), ddl)
 
 
-def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, start, n_words, match_doc_id, match_start, similarity``: passages of ``words`` words or more that an earlier document has.
-
-    ``similarity`` (at least ``percent`` %) is the shingle Jaccard along the alignment; ``match_doc_id`` is the
-    representative, with the smaller id. Documents without such passages, null and empty texts and rows
-    without an id give no rows; rows that repeat an id are one document.
-    """
-    if not WIDTH < words <= 500:
-        raise ValueError("words must be from 6 to 500")
-    src, least = common.documents(docs, id_col, text_col), words - WIDTH + 1
-    spark = docs.sparkSession
-    pairs = _aligned(src, least, functions, enough)
-    common.free_shuffles(spark)
+def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
+    """The passages that the documents of ``pairs`` share, as rows of :func:`repeated_passages`."""
     held = _slices(src, pairs)
-    common.free_shuffles(spark)
-    key = ("rep", "doc_id", "shift")
+    common.free_shuffles(src.sparkSession)
+    key = ("rep", "doc_id")
     held = held.repartition(*key).sortWithinPartitions(*key, "is_member")
-    share = 2 * percent / (100 + percent)  # equal places of aligned stretches with that Jaccard
     ddl = "doc_id long, start long, n_words long, match_doc_id long, match_start long, similarity double"
     schema = common.arrow_schema(ddl)
 
     def run(batches):
-        met, rep = None, None
+        met, reps, mine = None, {}, set()
         for b in batches:
             bodies = b.column("body").to_pylist()
             rows = list(zip(*(b.column(c).to_pylist() for c in (*key, "is_member", "at"))))
             for x, y in shingle.chunks(bodies):
                 tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
                 out = {k: [] for k in schema.names}
-                for i, (r, k, shift, is_member, at) in enumerate(rows[x:y]):
+                for i, (r, k, is_member, at) in enumerate(rows[x:y]):
                     own = tok[splits[i] : splits[i + 1]]
+                    if met != (r, k):
+                        met, reps, mine = (r, k), {}, set()
                     if not is_member:
-                        met, rep = (r, k, shift), own.copy()
+                        reps[at] = own.copy()
                         continue
-                    if met != (r, k, shift):  # the other row of a repeated id
+                    if at in mine:  # the other row of a repeated id
                         continue
-                    met, n = None, min(len(own), len(rep))
-                    for lo, hi, same in segments(own[:n] == rep[:n], least, share):
-                        row = (k, at + lo, hi - lo + WIDTH - 1, r, at + lo - shift, same / (2 * (hi - lo) - same))
-                        for name, v in zip(schema.names, row):
-                            out[name].append(v)
+                    mine.add(at)
+                    for first, rep in reps.items():
+                        for lo, hi, a, similarity in alike(own, rep, least, percent):
+                            row = (k, at + lo, hi - lo + WIDTH - 1, r, first + a, similarity)
+                            for name, v in zip(schema.names, row):
+                                out[name].append(v)
                 yield common.emit(out, schema)
 
     return held.mapInArrow(common.tidy(run), ddl).distinct()
 
 
+def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, start, n_words, match_doc_id, match_start, similarity``: passages of ``words`` words or more that an earlier document has.
+
+    ``similarity`` (at least ``percent`` %) is the Jaccard of the two stretches' shingle sets, which words inserted
+    or deleted may have made of different length; ``match_doc_id`` is the representative, with the smaller id.
+    Documents without such passages, null and empty texts and rows without an id give no rows; rows that repeat an
+    id are one document.
+    """
+    if not WIDTH < words <= 500:
+        raise ValueError("words must be from 6 to 500")
+    src, least = common.documents(docs, id_col, text_col), words - WIDTH + 1
+    spark = docs.sparkSession
+    wins = common.materialise(_windows(src, least, functions), "compact", "lz4")
+    lead = _leads(wins)
+    common.free_shuffles(spark)
+    # no more pairs than the members have windows
+    pairs = common.materialise(_pairs(wins.join(lead, "key").where("doc_id <> rep"), enough), "aligned")
+    common.discard(wins)
+    common.free_shuffles(spark)
+    return _verified(src, pairs, least, percent)
+
+
 def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, all of them and with all their columns, less the passages that an earlier document has."""
     found = common.materialise(repeated_passages(docs, words, percent, text_col=text_col, id_col=id_col, **options), "passages")

@@ -225,6 +225,21 @@ def test_op7_cuts_only_the_repeated_passage(spark):
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and az(got[2]) == az(f"{b} {c}")
 
 
+def test_op7_inserted_and_deleted_words(spark):
+    rng = np.random.default_rng(21)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, want = [], {}
+    for k in range(24):
+        p = new(80 if k % 3 < 2 else 160)
+        q = p[:40] + new(1) + p[40:] if k % 3 == 0 else p[:40] + p[41:] if k % 3 == 1 else p[:40] + new(1) + p[40:80] + p[81:120] + new(1) + p[120:]
+        rows += [(k, " ".join(new(30) + p + new(30))), (100 + k, " ".join(new(20) + q + new(40)))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (p, q))
+        assert len(a & b) >= 0.8 * len(a | b)
+        want[100 + k] = (k, 20, len(q), 30, pytest.approx(len(a & b) / len(a | b)))
+    got = {r.doc_id: (r.match_doc_id, r.start, r.n_words, r.match_start, r.similarity) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_op7_windows_hold_every_run(repeated):
     rng = np.random.default_rng(4)
