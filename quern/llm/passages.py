@@ -71,8 +71,8 @@ def compact_windows(tokens: np.ndarray, splits: np.ndarray, least: int, function
 
 
 def _windows(src: DataFrame, least: int, functions: int) -> DataFrame:
-    """``key, doc_id, place, first``: place packs (c, c - start, end - c); first marks a key's first place in its document."""
-    ddl = "key long, doc_id long, place long, first boolean"
+    """``key, doc_id, place, at``: place packs (c, c - start, end - c); at holds all places of a key in its document, in one row of them."""
+    ddl = "key long, doc_id long, place long, at array<long>"
     schema = common.arrow_schema(ddl)
     import pyarrow as pa
 
@@ -86,9 +86,13 @@ def _windows(src: DataFrame, least: int, functions: int) -> DataFrame:
                     key = shingle.mix(tok[splits[text] + c] * _FACTORS[-1 - f])
                     order = np.lexsort((c, key, text))
                     first = np.ones(len(key), bool)
-                    first[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-                    place = c << 20 | (c - start) << 10 | (end - c)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[x + text], pa.int64()), pa.array(place), pa.array(first)], schema=schema)
+                    first[1:] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+                    place = (c << 20 | (c - start) << 10 | (end - c))[order]
+                    at = np.append(np.flatnonzero(first), len(key))
+                    # the first row of a key has all of its places, the others have none
+                    ends = np.repeat(at[1:], np.diff(at))
+                    at = pa.ListArray.from_arrays(pa.array(np.append([0], ends), pa.int32()), pa.array(place)).cast(schema.field("at").type)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[order].view(np.int64)), pa.array(ids[x + text[order]], pa.int64()), pa.array(place), at], schema=schema)
 
     return src.where("doc_id is not null").mapInArrow(common.tidy(run), ddl)
 
@@ -175,9 +179,9 @@ def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tu
 
 
 def _leads(wins: DataFrame) -> DataFrame:
-    """The first document, and its first place, of each key that several documents have."""
-    lead = wins.where("first").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at"))
-    return common.materialise(lead.where("rep <> other").select("key", "rep", F.array("at").alias("at")), "leads")
+    """The first document, and all its places, of each key that several documents have."""
+    lead = wins.where("size(at) > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("at", "doc_id").alias("at"))
+    return common.materialise(lead.where("rep <> other").select("key", "rep", "at"), "leads")
 
 
 def _pairs(both: DataFrame, enough: int) -> DataFrame:
@@ -287,7 +291,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     lead = _leads(wins)
     common.free_shuffles(spark)
     # no more pairs than the members have windows
-    pairs = common.materialise(_pairs(wins.join(lead, "key").where("doc_id <> rep"), enough), "aligned")
+    pairs = common.materialise(_pairs(wins.drop("at").join(lead, "key").where("doc_id <> rep"), enough), "aligned")
     common.discard(wins)
     common.free_shuffles(spark)
     return _verified(src, pairs, least, percent)

@@ -240,6 +240,20 @@ def test_op7_inserted_and_deleted_words(spark):
     assert got == want
 
 
+def test_op7_all_places_of_the_first_document(spark):
+    rng = np.random.default_rng(22)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, want = [], {}
+    for k in range(12):
+        p = new(50)
+        # every five-gram of the passage leads a window of its own far before it
+        before = [w for at in range(0, 46) for w in new(50) + p[at : at + 5] + new(50)]
+        rows += [(k, " ".join(before + p)), (100 + k, " ".join(new(30) + p + new(30)))]
+        want[100 + k] = (k, 30, 50, len(before), 1.0)
+    got = {r.doc_id: (r.match_doc_id, r.start, r.n_words, r.match_start, r.similarity) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_op7_windows_hold_every_run(repeated):
     rng = np.random.default_rng(4)
