@@ -6,7 +6,8 @@ Cartesian tree of the token hashes. Only nodes wide enough to hold such a subseq
 the places that are the minimum of some window of ``least`` tokens, so they are found, for whole batches,
 by sliding minima. A rectangle's sides are kept as far as windows of ``least`` tokens reach.
 
-Windows are grouped by (function, min-hash); a group's first document is its representative. The stretches of
+Windows are grouped by (function, min-hash); a group's first document is its representative. What no passage
+shared with it explains then meets all earlier members of its group, in blocks. The stretches of
 text that the shared windows of a member and its representative span, and a margin, are cut from both documents.
 Their runs of equal tokens, on whatever diagonals, are chained, and a chain is a passage if its two sets of
 shingles are alike enough.
@@ -29,6 +30,8 @@ BROADCAST_ROWS = 50_000
 SALT_ROWS = 256
 #: Tokens on either side of a pair's windows that are compared as well, and between windows that are compared in one stretch.
 MARGIN, JOINED = 46, 512
+#: Leads of a block, and windows that one task streams past it, among members that did not match the first document, about.
+BLOCK, STREAM = 64, 512
 #: Pairs of equal tokens that are held at once when two stretches are compared, about.
 PAIRS = 1 << 21
 
@@ -275,6 +278,90 @@ def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int) -> Dat
     return held.mapInArrow(common.tidy(run), ddl).distinct()
 
 
+def _unlinked(wins: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, doc_id, place, is_lead``: members, without the first document, of the groups with a window that ``found`` does not explain.
+
+    These windows, whose own token is in no passage found so far, are the leads.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - WIDTH + 1).alias("end"))).alias("spans"))
+    members = wins.select("key", "doc_id", "place").join(lead.select("key", "rep"), "key").where("doc_id <> rep").drop("rep")
+    c = F.shiftright("place", 20)
+    inside = F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
+    members = common.materialise(members.join(spans, "doc_id", "left").select("key", "doc_id", "place", (~F.coalesce(inside, F.lit(False))).alias("is_lead")), "members", "lz4")
+    # the one of smallest id has no earlier document left to meet
+    several = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("is_lead"), F.col("doc_id"))).alias("b")).where("a < b").select("key")
+    return common.materialise(members.join(several, "key"), "unlinked", "lz4")
+
+
+def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
+    """``key, doc_id, rep, place, at``: each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
+
+    Leads are dealt out in blocks, and all windows of the group stream past each, so every lead meets all of them.
+    A passage agrees with another in seven tenths or more of the tokens of some window; pairs of windows with less
+    than half of ``least`` in common are left out, and of windows of equal tokens a lead takes the first.
+    """
+    need = left.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead")).alias("asked")).withColumnRenamed("doc_id", "owner")
+    ddl = "key long, doc_id long, place long, is_lead boolean, tokens binary"
+    schema = common.arrow_schema(ddl)
+
+    def cut(batches):
+        for b in batches:
+            bodies, ids, asked = (b.column(c).to_pylist() for c in ("body", "owner", "asked"))
+            for x, y in shingle.chunks(bodies):
+                tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
+                out = {k: [] for k in schema.names}
+                for i, key, own in zip(range(x, y), ids[x:y], asked[x:y]):
+                    t = (tok[splits[i - x] : splits[i - x + 1]] >> U(32)).astype(np.uint32)
+                    for q in own:
+                        c = q["place"] >> 20
+                        row = (q["key"], key, q["place"], q["is_lead"], np.unique(t[c - (q["place"] >> 10 & 1023) : c + (q["place"] & 1023)]).tobytes())
+                        for name, v in zip(schema.names, row):
+                            out[name].append(v)
+                yield common.emit(out, schema)
+
+    own = common.materialise(src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl), "windows", "lz4")
+    per = own.groupBy("key").agg(F.ceil(F.count_if("is_lead") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / STREAM).cast("int").alias("salts"))
+    at = own.join(per, "key")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id", "place", "key"), F.col(n)).cast("int")
+    names = ("key", "block", "salt")
+    lead = at.where("is_lead").withColumn("block", deal("blocks")).withColumn("salt", cells("salts"))
+    past = at.withColumn("salt", deal("salts")).withColumn("block", cells("blocks"))
+    side = lambda df, member: df.select(*names, F.lit(member).alias("is_member"), "doc_id", "place", "tokens")
+    held = side(lead, False).union(side(past, True)).repartition(*names).sortWithinPartitions(*names, "is_member", "doc_id")
+    ddl = "key long, doc_id long, rep long, place long, at array<long>"
+    schema_out = common.arrow_schema(ddl)
+
+    def meet(batches):
+        where, leads, flat, met = None, [], None, set()
+        for b in batches:
+            out = {k: [] for k in schema_out.names}
+            for *cell, is_member, key, place, raw in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "place", "tokens"))):
+                if where != cell:
+                    where, leads, flat, met = cell, [], None, set()
+                if not is_member:
+                    leads.append((key, place, np.frombuffer(raw, np.uint32)))
+                    continue
+                if not leads or key >= leads[-1][0]:
+                    continue
+                if flat is None:
+                    flat = np.concatenate([t for _, _, t in leads])
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], np.repeat(np.arange(len(leads)), [len(t) for _, _, t in leads])[order]
+                t = np.frombuffer(raw, np.uint32)
+                lo = np.searchsorted(flat, t, "left")
+                n = np.searchsorted(flat, t, "right") - lo
+                same = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(leads))
+                for i in np.flatnonzero(2 * same >= least).tolist():
+                    if key < leads[i][0] and (i, raw) not in met:
+                        met.add((i, raw))
+                        for name, v in zip(schema_out.names, (cell[0], leads[i][0], key, leads[i][1], [place])):
+                            out[name].append(v)
+            yield common.emit(out, schema_out)
+
+    return held.mapInArrow(common.tidy(meet), ddl)
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_words, match_doc_id, match_start, similarity``: passages of ``words`` words or more that an earlier document has.
 
@@ -292,9 +379,18 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     common.free_shuffles(spark)
     # no more pairs than the members have windows
     pairs = common.materialise(_pairs(wins.drop("at").join(lead, "key").where("doc_id <> rep"), enough), "aligned")
+    found = common.materialise(_verified(src, pairs, least, percent), "found")
+    common.free_shuffles(spark)
+    left = _unlinked(wins, lead, found)
     common.discard(wins)
     common.free_shuffles(spark)
-    return _verified(src, pairs, least, percent)
+    if left.isEmpty():
+        return found
+    pairs = common.materialise(_pairs(_further(src, left, least), enough), "aligned")
+    common.free_shuffles(spark)
+    if pairs.isEmpty():
+        return found
+    return found.union(_verified(src, pairs, least, percent)).distinct()
 
 
 def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -254,6 +254,20 @@ def test_op7_all_places_of_the_first_document(spark):
     assert got == want
 
 
+def test_op7_members_unlike_the_first_document(spark):
+    rng = np.random.default_rng(23)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, want = [], set()
+    for k in range(8):
+        p = new(50)
+        # an earlier document in which every five-gram of the passage leads a window of its own
+        rows += [(k, " ".join(w for at in range(0, 46) for w in new(50) + p[at : at + 5] + new(50)))]
+        rows += [(100 + k, " ".join(new(30) + p + new(30))), (200 + k, " ".join(new(10) + p + new(60)))]
+        want.add((200 + k, 10, 50, 100 + k, 30, 1.0))
+    got = {tuple(r) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_op7_windows_hold_every_run(repeated):
     rng = np.random.default_rng(4)
