@@ -1,7 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is the words whose presence depends on the label (G-test over the training examples); their
-IDFs come from all documents. Examples and documents are TF-IDF vectors over it. A document's exact nearest
+The vocabulary is all words of the training examples; their IDFs come from all documents. Examples and documents are TF-IDF vectors over it. A document's exact nearest
 examples are found block by block: a block's bound is the sum of the query weights times the largest weight
 each term has in it, and blocks whose bound is under the k-th best similarity are never opened. Votes are
 weighted by similarity and calibrated, by isotonic regression, on leave-one-out votes of the examples.
@@ -24,33 +23,49 @@ from .quality import held_out, labelled_sample
 BLOCK = 64
 
 
+def arrays(vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(vector), np.int32), np.array(list(vector.values()), np.float64)
+
+
 class BlockMaxIndex:
     """Unit vectors in blocks of ``BLOCK`` examples: a block's postings by term, and each term's largest weight in it.
 
     Examples are laid out by their heaviest terms, so that like ones share blocks and bounds are tight.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, vectors: list, n_terms: int):
+        """``vectors``: dictionaries from term to weight, or (terms, weights) arrays, which take less memory."""
         self.n, self.n_terms = len(vectors), n_terms
-        order = sorted(range(self.n), key=lambda i: ([t for _, t in sorted((-w, t) for t, w in vectors[i].items())][:4], i))
+        vectors = [arrays(v) if isinstance(v, dict) else v for v in vectors]
+        order = sorted(range(self.n), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -vectors[i][1]))[:4]].tolist(), i))
         self.at = np.array(order, np.int64)
-        self.best = np.zeros((n_terms, max(-(-self.n // BLOCK), 1)), np.float64)
-        self.blocks = []
+        self.blocks, largest = [], []
         for b in range(-(-self.n // BLOCK)):
-            cells = sorted((t, r, w) for r, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]) for t, w in vectors[i].items())
-            terms, rows, weights = (np.array(x) for x in zip(*cells))
-            np.maximum.at(self.best[:, b], terms, weights)
-            self.blocks.append((terms, rows, weights))
+            held = [vectors[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
+            terms, weights = (np.concatenate(x) for x in zip(*held))
+            rows = np.repeat(np.arange(len(held)), [len(t) for t, _ in held])
+            by = np.lexsort((rows, terms))
+            terms, rows, weights = terms[by], rows[by], weights[by]
+            self.blocks.append((terms.astype(np.int32), rows.astype(np.int32), weights))
+            first = np.flatnonzero(np.diff(terms, prepend=-1))
+            largest.append((terms[first], np.full(len(first), b), np.maximum.reduceat(weights, first)))
+        # each term's largest weight in the blocks that have it, by term
+        terms, blocks, weights = (np.concatenate(x) for x in zip(*largest)) if largest else (np.zeros(0, int),) * 3
+        by = np.argsort(terms, kind="stable")
+        self.in_block, self.best = blocks[by].astype(np.int32), weights[by]
+        self.splits = np.searchsorted(terms[by], np.arange(n_terms + 1))
         self.opened = 0
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest positive cosine, exactly; ties by example number."""
         if not query or not self.n:
             return []
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.best[terms]
+        terms, own_weights = np.array(list(query)), np.array(list(query.values()))
+        n = self.splits[terms + 1] - self.splits[terms]
+        at = np.repeat(self.splits[terms] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        bound = np.bincount(self.in_block[at], np.repeat(own_weights, n) * self.best[at], minlength=len(self.blocks))
         dense = np.zeros(self.n_terms)
-        dense[terms] = list(query.values())
+        dense[terms] = own_weights
         found: list[tuple[float, int]] = []
         floor = 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
@@ -85,17 +100,18 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    def __init__(self, examples: list[tuple[int, dict[bytes, int], int]], df: dict[bytes, int], n: int, k: int):
-        """``examples``: (doc_id, term counts, label) rows; ``df`` and ``n``: statistics of all documents."""
+    def __init__(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]], words: list[bytes], df: dict[bytes, int], n: int, k: int):
+        """``examples``: (doc_id, numbers in ``words``, their counts, label) rows; ``df`` and ``n``: statistics of all documents."""
         self.k = k
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        self.words = frozenset(self.terms)
-        self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
+        order = sorted(range(len(words)), key=words.__getitem__)
+        self.terms = {words[i]: t for t, i in enumerate(order)}
+        self.idf = np.array([math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in self.terms], np.float64)
+        term = np.empty(len(words), np.int32)
+        term[order] = np.arange(len(words))
         vectors, self.ids, y, plain = [], [], [], []
-        for key, counts, label in sorted(examples, key=lambda e: e[0]):
-            v = self.vector(counts)
-            if v:
-                vectors.append(v)
+        for key, own, counts, label in sorted(examples, key=lambda e: e[0]):
+            if len(own):
+                vectors.append(arrays(self.vector(dict(zip(term[own].tolist(), counts.tolist())))))
                 self.ids.append(key)
                 y.append(label)
             else:
@@ -105,12 +121,20 @@ class ToxicityModel:
         self.rate = rate
         self.none = (sum(plain) + 0.2 * rate) / (len(plain) + 0.2)
         self.index = BlockMaxIndex(vectors, len(self.terms))
-        votes = np.array([self.vote(self.index.nearest(v, k, skip=i)) for i, v in enumerate(vectors)])
-        self.ends, self.values = isotonic(votes, self.y) if len(votes) else (np.array([1.0]), np.array([rate]))
+        self.vectors = vectors
         self.known: dict[tuple, tuple[float, list[int], list[float]]] = {}
 
-    def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        raw = {self.terms[w]: (1 + math.log(c)) * self.idf[w] for w, c in counts.items() if w in self.terms}
+    def own_vote(self, i: int) -> float:
+        """The vote of example ``i``'s neighbours, itself left out."""
+        return self.vote(self.index.nearest(dict(zip(*(x.tolist() for x in self.vectors[i]))), self.k, skip=i))
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Fit the steps from votes to scores on the examples' own votes, in their order."""
+        self.ends, self.values = isotonic(votes, self.y) if len(votes) else (np.array([1.0]), np.array([self.rate]))
+        self.vectors = None
+
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        raw = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {t: x / norm for t, x in sorted(raw.items())}
 
@@ -121,11 +145,9 @@ class ToxicityModel:
 
     def score(self, body: bytes) -> tuple[float, list[int], list[float]]:
         """(calibrated score, ids of the nearest examples, their cosines) of one whole text."""
-        words = common.az_words(body)
-        met = self.words.intersection(words)
-        if not met:
+        counts = Counter(self.terms[w] for w in common.az_words(body) if w in self.terms)
+        if not counts:
             return self.none, [], []
-        counts = Counter(w for w in words if w in met)
         key = tuple(sorted(counts.items()))
         got = self.known.get(key)
         if got is None:
@@ -138,44 +160,42 @@ class ToxicityModel:
         return got
 
 
-def dependent_words(counts: DataFrame, n: int, positive: int, least: float = 25.0, bound: int = 1024) -> DataFrame:
-    """Words of ``counts (word, n11, n1)`` whose G statistic against the label is ``least`` or more, at most ``bound``, strongest first."""
-    o11, row = F.col("n11").cast("double"), F.col("n1").cast("double")
-    term = lambda o, e: F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
-    share, rest = positive / max(n, 1), 1 - positive / max(n, 1)
-    g = 2 * (
-        term(o11, row * share) + term(row - o11, row * rest)
-        + term(F.lit(float(positive)) - o11, (F.lit(float(n)) - row) * share) + term(F.lit(float(n - positive)) - row + o11, (F.lit(float(n)) - row) * rest)
-    )
-    return counts.withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(bound)
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, train_rows: int = 12000, k: int = 15, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
     """The index of at most ``train_rows`` labelled examples outside the held-out fold, with the IDFs of all documents."""
     src = common.documents(docs, id_col, text_col)
     sample = labelled_sample(labels, label, folds, fold, train_rows)
-    ddl = "doc_id long, y int, word binary, tf int"
+    ddl = "doc_id long, y int, words array<binary>, tfs array<int>"
     schema = common.arrow_schema(ddl)
 
-    def explode(batches):
+    def count(batches):
         for b in batches:
-            for key, y, body in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("body").to_pylist()):
-                c = Counter(common.az_words(body)) or Counter([b""])
-                yield common.emit({"doc_id": [key] * len(c), "y": [y] * len(c), "word": list(c), "tf": list(c.values())}, schema)
+            counts = [Counter(common.az_words(body)) for body in b.column("body").to_pylist()]
+            yield common.emit({"doc_id": b.column("doc_id").to_pylist(), "y": b.column("y").to_pylist(), "words": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]}, schema)
 
     # at most train_rows examples
     one = src.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    held = common.materialise(one.select("doc_id", "y", "body").mapInArrow(common.tidy(explode), ddl), "examples")
-    about = {r.doc_id: r.y for r in held.select("doc_id", "y").distinct().collect()}
-    counts = held.where(F.length("word") > 0).groupBy("word").agg(F.sum("y").alias("n11"), F.count("*").alias("n1"))
-    chosen = [bytes(r.word) for r in dependent_words(counts, len(about), sum(about.values())).collect()]
-    vectors: dict[int, dict[bytes, int]] = {key: {} for key in about}
-    if chosen:
-        terms = docs.sparkSession.createDataFrame([(bytearray(w),) for w in chosen], "word binary")
-        for r in held.join(F.broadcast(terms), "word").collect():
-            vectors[r.doc_id][bytes(r.word)] = r.tf
-    df, n = word_counts(src, frozenset(chosen))
-    return ToxicityModel([(key, vectors[key], y) for key, y in about.items()], {w: df.get(w, 0) for w in chosen}, n, k)
+    held = common.materialise(one.select("doc_id", "y", "body").mapInArrow(common.tidy(count), ddl), "examples")
+    known: dict[bytes, int] = {}
+    examples = []
+    for r in held.toLocalIterator():
+        examples.append((r.doc_id, np.array([known.setdefault(bytes(w), len(known)) for w in r.words], np.int32), np.array(r.tfs, np.int32), r.y))
+    df, n = word_counts(src, frozenset(known))
+    model = ToxicityModel(examples, list(known), df, n, k)
+    del examples, known, df
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    ddl_votes = "i long, vote double"
+    schema_votes = common.arrow_schema(ddl_votes)
+
+    def votes(batches):
+        for b in batches:
+            i = b.column("id").to_pylist()
+            yield common.emit({"i": i, "vote": [shared.value.own_vote(x) for x in i]}, schema_votes)
+
+    own = spark.range(0, model.index.n, 1, 48).mapInArrow(common.tidy(votes), ddl_votes).collect()
+    shared.destroy()
+    model.calibrate(np.array([r.vote for r in sorted(own, key=lambda r: r.i)]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -159,6 +159,22 @@ def test_op4_nearest_are_exact():
         assert [i for _, i in index.nearest(q, 10)] == [i for _, i in want]
 
 
+def test_op4_uses_all_words(spark):
+    # no word depends on the label by much, and the telling one is in two examples
+    rows = [(i, f"common filler number{i} text") for i in range(40)] + [(100, "quibblewort alpha"), (101, "quibblewort beta"), (200, "quibblewort gamma")]
+    own = spark.createDataFrame([(i, 0) for i in range(40)] + [(100, 1), (101, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, rows), own, folds=1, fold=1).collect()}
+    w = {k: az(t) for k, t in rows}
+    idf = {x: math.log((1 + len(rows)) / (1 + sum(x in v for v in w.values()))) + 1 for v in w.values() for x in v}
+    seen = {x for k, v in w.items() if k != 200 for x in v}
+    for k, v in w.items():
+        length = lambda u: math.sqrt(sum(idf[x] ** 2 for x in u if x in seen))
+        sims = [(round(sum(idf[x] ** 2 for x in v if x in w[e]) / length(v) / length(w[e]), 9), -e) for e in w if e != 200]
+        want = sorted((s for s in sims if s[0] > 0), reverse=True)[:3]
+        assert [round(c, 9) for c in got[k].nearest_cosines] == [s for s, _ in want], k
+    assert set(got[200].nearest_ids) == {100, 101} and got[200].score > got[0].score
+
+
 def test_op5_records(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     made = warc.derivatives(warc.responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
