@@ -51,3 +51,22 @@ def test_strong_components_of_a_cycle_with_a_tail(spark):
 def test_components_of_a_disconnected_pair(spark):
     got = {r.node: r.root for r in traverse.components(edges(spark, (5, 1), (9, 8))).collect()}
     assert got == {5: 1, 1: 1, 9: 8, 8: 8}
+
+
+def test_pagerank_converges(spark, sf):
+    import numpy as np
+
+    from quern.plans import derive
+
+    g = derive.star_graph(spark, sf, cyclic=True)
+    at = {r.def_id: i for i, r in enumerate(g.nodes.select("def_id").collect())}
+    move = np.zeros((len(at), len(at)))
+    for r in g.edges.select("src", "dst").distinct().collect():
+        move[at[r.dst], at[r.src]] = 1
+    out = move.sum(axis=0)
+    move = np.where(out > 0, move / np.maximum(out, 1), 1 / len(at))
+    mass = np.full(len(at), 1 / len(at))
+    for _ in range(500):
+        mass = 0.15 / len(at) + 0.85 * move @ mass
+    got = {r.node: r.mass for r in registry.QUERIES["pagerank_converged"](spark, sf).collect()}
+    assert got.keys() == at.keys() and sum(abs(got[k] - mass[i]) for k, i in at.items()) < 1e-5
