@@ -153,6 +153,15 @@ def term_clusters(spark, sf_dir):
     return rounded(cohesion.term_clusters(*_subterms(spark, sf_dir)), "mean_depth", "diversity", "score")
 
 
+@query("term_clusters_documents")
+def term_clusters_documents(spark, sf_dir):
+    """Subterm clusters of the whole documents: the words of ``text``, a definition a document, a module its source. Rows without an id are no definitions."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sub = d.select(F.col("doc_id").alias("def_id"), F.explode(F.split("text", r"[ \t-\r]+")).alias("hash")).where("hash <> ''").withColumn("depth", F.length("hash"))
+    nodes = d.groupBy(F.col("doc_id").alias("def_id")).agg(F.min(F.coalesce("source", F.lit(""))).alias("module"))
+    return rounded(cohesion.term_clusters(sub, nodes), "mean_depth", "diversity", "score")
+
+
 @query("exact_duplicates", """WITH bags AS (SELECT doc_id AS def_id, text AS bag, lang AS sig FROM documents)
 SELECT min(def_id) AS first_member, count(*) AS size FROM bags GROUP BY bag, sig HAVING count(*) >= 2""")
 def exact_duplicates(spark, sf_dir):

@@ -70,3 +70,22 @@ def test_pagerank_converges(spark, sf):
         mass = 0.15 / len(at) + 0.85 * move @ mass
     got = {r.node: r.mass for r in registry.QUERIES["pagerank_converged"](spark, sf).collect()}
     assert got.keys() == at.keys() and sum(abs(got[k] - mass[i]) for k, i in at.items()) < 1e-5
+
+
+def test_term_clusters_of_documents(spark, sf):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    per, defs = defaultdict(Counter), defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect():
+        for w in re.findall(r"[^ \t-\r]+", r.text or ""):
+            per[w][r.source or ""] += 1
+            defs[w].add(r.doc_id)
+    got = {r.hash: r for r in registry.QUERIES["term_clusters_documents"](spark, sf).collect()}
+    assert got.keys() == {w for w, c in per.items() if sum(c.values()) >= 2}
+    for w, r in got.items():
+        n, c = sum(per[w].values()), per[w].values()
+        div = sum(-x / n * math.log(x / n) for x in c) / math.log(min(len(c), 10)) if len(c) > 1 else 0.0
+        assert (r.size, r.n_defs, r.n_modules) == (n, len(defs[w]), len(c))
+        assert r.score == pytest.approx(n * len(w) * (1 + div), abs=1e-4)
