@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import materialise, ship
+from quern.session import discard, materialise, ship
 
 #: Graphs of so many edges at most are condensed by one task; larger ones by the colouring loop.
 KERNEL_EDGES = 2_000_000
@@ -65,24 +65,57 @@ def shortest_paths(edges: DataFrame, source: int, target: int, k: int = 3, allow
         layer = on.where(F.col("depth") == d).select(F.col("node").alias("b"))
         hop = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().join(layer, "b", "left_semi")
         paths = materialise(paths.join(hop, F.element_at("path", -1) == hop.a).select(F.concat("path", F.array("b")).alias("path")).orderBy("path").limit(k), "paths")
-    from pyspark.sql import Window
-
     return paths.select(F.row_number().over(Window.orderBy("path")).alias("rank"), "path")
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """``node, root``: connected components labelled by their least node; minima spread and shortcut until nothing changes."""
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = materialise(pairs.union(pairs.select("v", "u")).distinct(), "pairs")
-    label = materialise(pairs.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root")), "labels")
+def witness_paths(edges: DataFrame, source: int) -> DataFrame:
+    """``node, path``: a shortest path from the source to each node it reaches, of equal ones the least by ids; the source's own is itself.
+
+    This is the tree of a breadth-first search that takes neighbours in ascending order, as the order of discovery
+    within a layer is that of the paths.
+    """
+    hop = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
+    new = materialise(edges.sparkSession.createDataFrame([(source, [source])], "node long, path array<long>"), "witness")
+    found = [new]
     while True:
-        near = pairs.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
-        low = label.join(near, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = low.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        nxt = materialise(low.join(up, "root", "left").select("node", F.least("root", F.coalesce("higher", "root")).alias("root")), "labels")
-        if nxt.join(label, ["node", "root"], "left_anti").isEmpty():
-            return nxt
-        label = nxt
+        nxt = new.join(hop, new.node == hop.a).select(F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
+        seen = reduce(DataFrame.union, found).select("node")
+        new = materialise(nxt.join(seen, "node", "left_anti"), "witness")
+        if new.isEmpty():
+            return reduce(DataFrame.union, found)
+        found.append(new)
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Number and combined hashes of distinct edges: equal tables, equal digests."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
+def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """``node, root``: connected components of the nodes with an edge to another, labelled by their least node.
+
+    Alternating large-star and small-star contraction: each round is two grouped minima, no node's
+    neighbourhood is ever gathered in one row, and every round's edges are written to the shared folder.
+    """
+    cur = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    for _ in range(max_rounds):  # in the end every node hangs on its root
+        both = cur.union(cur.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+        pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+        small = large.join(small_min, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        nxt = materialise(small, "edges")
+        same = _digest(nxt) == _digest(cur)
+        discard(cur)
+        cur = nxt
+        if same:
+            done = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return done.union(cur.select("v", F.col("v")).distinct())
+    raise RuntimeError("components: no fixed point within max_rounds")
 
 
 def tarjan(n: int, heads: list[list[int]]) -> list[int]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import names
@@ -11,50 +13,100 @@ from quern.plans.graph import Graph
 from quern.session import materialise
 
 
-def footprints(graph: Graph, source: str = "postulates") -> DataFrame:
-    """``def_id, axiom``: the axioms (state P) each public theorem uses, directly or not; a null axiom if none.
+def in_scope(graph: Graph, prefixes: tuple[str, ...] = (), externals: tuple[str, ...] | None = None) -> Column:
+    """Modules under one of ``prefixes``; without any, all but foundational ones and, where known, ``externals``."""
+    module = F.col("module")
+    any_of = lambda ps: reduce(lambda x, y: x | y, (names.is_module_prefix(F.lit(p), module) for p in ps), F.lit(False))
+    if prefixes:
+        return any_of(prefixes)
+    return ~names.is_foundational(module) & ~any_of(externals or ())
+
+
+def axiom_sets(graph: Graph, source: str = "postulate", prefixes: tuple[str, ...] = (), externals: tuple[str, ...] | None = None) -> DataFrame:
+    """``def_id, foundational``: what theorems can rest on. ``source``: postulate, record-field (projections in scope) or both."""
+    if source not in ("postulate", "record-field", "both"):
+        raise ValueError(f"unknown axiom source: {source}")
+    is_post, base = F.col("state") == "P", names.is_foundational(F.col("module"))
+    field = (F.col("kind") == "projection") & in_scope(graph, prefixes, externals)
+    paper = (is_post & ~base) if source == "postulate" else field if source == "record-field" else (is_post & ~base) | field
+    return graph.nodes.where(paper | (is_post & base)).select("def_id", (~paper).alias("foundational"))
 
-    Axioms' ancestors are computed, not the theorems' closures: there are few axioms.
+
+def footprints(graph: Graph, source: str = "postulate", theorem_prefixes: tuple[str, ...] = (), axiom_prefixes: tuple[str, ...] = (), externals: tuple[str, ...] | None = None) -> DataFrame:
+    """``def_id, axiom, foundational``: the axioms each public theorem rests on, directly or not; a null axiom if none.
+
+    Theorems are public, in scope and of any kind but ``other``, whatever their state; one is never among its own
+    axioms. Axioms' ancestors are computed, not the theorems' closures: there are few axioms.
     """
-    axioms = graph.nodes.where(F.col("state") == "P" if source == "postulates" else (F.col("state") == "P") | F.col("kind").isin("postulate", "primitive"))
-    theorems = graph.nodes.where((F.col("access") == "public") & F.col("is_real") & ~names.is_foundational(F.col("module")) & (F.col("state") != "P")).select("def_id")
+    axioms = axiom_sets(graph, source, axiom_prefixes, externals)
+    theorems = graph.nodes.where((F.col("access") == "public") & (F.col("kind") != "other") & in_scope(graph, theorem_prefixes, externals)).select("def_id")
     up = closure(graph.edges, axioms.select(F.col("def_id").alias("seed")), reverse=True).select(F.col("node").alias("def_id"), F.col("seed").alias("axiom"))
+    up = up.join(axioms.withColumnRenamed("def_id", "axiom"), "axiom").select("def_id", "axiom", "foundational")
     return materialise(theorems.join(up, "def_id", "left"), "footprints")
 
 
+def ledger(foot: DataFrame, min_axioms: int = 0) -> DataFrame:
+    """``def_id, n_axioms, n_foundational``: each theorem's trust budget."""
+    out = foot.groupBy("def_id").agg(F.count_if(F.col("axiom").isNotNull() & ~F.col("foundational")).alias("n_axioms"), F.count_if(F.coalesce("foundational", F.lit(False))).alias("n_foundational"))
+    return out.where(F.col("n_axioms") >= min_axioms)
+
+
 def cohorts(foot: DataFrame, least: int = 2) -> DataFrame:
     """``axioms, n``: theorems grouped by their exact axiom set, the empty set too."""
-    sets = foot.groupBy("def_id").agg(F.array_sort(F.collect_set("axiom")).alias("axioms"))
+    sets = foot.groupBy("def_id").agg(F.array_sort(F.collect_set(F.when(~F.col("foundational"), F.col("axiom")))).alias("axioms"))
     return sets.groupBy("axioms").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def leverage(foot: DataFrame) -> DataFrame:
     """``axiom, n``: how many theorems use each axiom."""
-    return foot.where("axiom is not null").groupBy("axiom").agg(F.count_distinct("def_id").alias("n"))
+    return foot.where("axiom is not null and not foundational").groupBy("axiom").agg(F.count_distinct("def_id").alias("n"))
+
+
+def exported(graph: Graph) -> DataFrame:
+    """``node``: all public definitions; without any, what nothing uses."""
+    public = graph.nodes.where("access = 'public'")
+    return (graph.terminals() if public.isEmpty() else public).select(F.col("def_id").alias("node"))
 
 
-def debt_coverage(graph: Graph, postulates: bool = True) -> DataFrame:
-    """``hole, def_id``: which public definitions depend on each hole (and postulate); a hole is not among its own ancestors."""
-    states = ["H", "P"] if postulates else ["H"]
-    holes = graph.nodes.where(F.col("state").isin(*states) & ~names.is_foundational(F.col("module")))
-    exported = graph.nodes.where(F.col("access") == "public").select(F.col("def_id").alias("node"))
-    return closure(graph.edges, holes.select(F.col("def_id").alias("seed")), reverse=True).join(exported, "node", "left_semi").select(F.col("seed").alias("hole"), F.col("node").alias("def_id"))
+def debt_coverage(graph: Graph, postulates: bool = True, foundational: bool = False) -> DataFrame:
+    """``hole, def_id``: which exported definitions depend on each hole (and postulate); a hole is not among its own ancestors."""
+    kept = F.col("state") == "H"
+    if postulates:
+        kept = kept | ((F.col("state") == "P") & (F.lit(foundational) | ~names.is_foundational(F.col("module"))))
+    holes = graph.nodes.where(kept)
+    up = closure(graph.edges, holes.select(F.col("def_id").alias("seed")), reverse=True)
+    return materialise(up.join(exported(graph), "node", "left_semi").select(F.col("seed").alias("hole"), F.col("node").alias("def_id")), "coverage")
 
 
-def debt_schedule(coverage: DataFrame, steps: int = 20) -> DataFrame:
-    """``step, hole, gain, covered, cum_pct``: greedy maximum coverage, ties to the lowest hole; one aggregation a step."""
-    left = materialise(coverage.distinct(), "coverage")
-    total = left.select("def_id").distinct().count()
-    rows, covered = [], 0
-    for step in range(1, steps + 1):
-        best = left.groupBy("hole").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "hole").first()
-        if best is None:
+def debt_schedule(graph: Graph, coverage: DataFrame, steps: int | None = None) -> DataFrame:
+    """``step, hole, coverage, gain, cum_pct``: greedy maximum coverage, ties to the lowest hole, until nothing is gained.
+
+    ``cum_pct`` is the share of all exported definitions. Gains only fall, so a hole's last known gain bounds it:
+    each round counts anew the holes of largest bounds only, 64 at a time, against what is left.
+    """
+    total = exported(graph).count()
+    left = coverage.select("hole", "def_id").distinct()
+    # one row a hole on the driver: definitions that are open or assumed
+    size = {r.hole: r.n for r in left.groupBy("hole").agg(F.count("*").alias("n")).collect()}
+    bound, rows, covered = dict(size), [], 0
+    while bound and (steps is None or len(rows) < steps):
+        known: dict[int, int] = {}
+        best = None
+        while True:
+            ahead = sorted((h for h in bound if h not in known), key=lambda h: (-bound[h], h))[:64]
+            if not ahead or (best is not None and (bound[ahead[0]], -ahead[0]) < (known[best], -best)):
+                break
+            got = {r.hole: r.n for r in left.where(F.col("hole").isin(ahead)).groupBy("hole").agg(F.count("*").alias("n")).collect()}
+            for h in ahead:
+                known[h] = bound[h] = got.get(h, 0)
+            best = min(known, key=lambda h: (-known[h], h))
+        if best is None or not known[best]:
             break
-        covered += best.gain
-        rows.append((step, best.hole, best.gain, covered, 100.0 * covered / total))
-        done = left.where(F.col("hole") == best.hole).select("def_id")
-        left = materialise(left.join(done, "def_id", "left_anti").select("hole", "def_id"), "coverage")
-    return coverage.sparkSession.createDataFrame(rows, "step int, hole long, gain long, covered long, cum_pct double")
+        covered += known[best]
+        rows.append((len(rows) + 1, best, size[best], known[best], 100.0 * covered / total))
+        del bound[best]
+        left = materialise(left.join(left.where(F.col("hole") == best).select("def_id"), "def_id", "left_anti").select("hole", "def_id"), "coverage")
+    return coverage.sparkSession.createDataFrame(rows, "step int, hole long, coverage long, gain long, cum_pct double")
 
 
 def prerequisites(graph: Graph, coverage: DataFrame) -> DataFrame:

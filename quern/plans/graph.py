@@ -22,7 +22,10 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     subterms: DataFrame | None = None
+    #: tables that belong to modules: files, modules, reexports, options, unsolved_modules
     extra: dict[str, DataFrame] = field(default_factory=dict)
+    #: entry_module, producer, externals, ... of the document
+    meta: dict = field(default_factory=dict)
 
     @property
     def spark(self):
@@ -31,15 +34,15 @@ class Graph:
     def stored(self) -> Graph:
         """The same graph, written once and reread."""
         sub = materialise(self.subterms, "subterms") if self.subterms is not None else None
-        return Graph(materialise(self.nodes, "nodes"), materialise(self.edges, "edges"), sub, self.extra)
+        return Graph(materialise(self.nodes, "nodes"), materialise(self.edges, "edges"), sub, self.extra, self.meta)
 
     def loopless(self) -> DataFrame:
         return self.edges.where("src <> dst")
 
-    def by_provenance(self, tag: str) -> DataFrame:
-        """Edges of one provenance; ``where`` is an alias of ``module-local``; untagged edges count as ``body``."""
+    def by_provenance(self, tag: str, untagged: bool = True) -> DataFrame:
+        """Edges of one provenance; ``where`` is an alias of ``module-local``; untagged edges count as ``body`` if ``untagged``."""
         tag = "module-local" if tag == "where" else tag
-        own = F.when(F.col("prov") == "where", "module-local").otherwise(F.coalesce("prov", F.lit("body")))
+        own = F.when(F.col("prov") == "where", "module-local").otherwise(F.coalesce("prov", F.lit("body" if untagged else None)))
         return self.edges.where(own == tag)
 
     def terminals(self) -> DataFrame:

@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 
 CTE = f"WITH RECURSIVE nodes AS ({derive.NODES}), edges AS ({derive.DAG})"
 CTE_CYCLIC = f"WITH RECURSIVE nodes AS ({derive.NODES}), edges AS ({derive.CYCLIC})"
+CTE_SUCCESSION = f"WITH RECURSIVE nodes AS ({derive.NODES}), edges AS ({derive.SUCCESSION})"
 #: The closure of every node, forwards, with hop distances; terms end as the derived graph is acyclic.
 CLOSURE = "reach(seed, node) AS (SELECT src, dst FROM edges UNION SELECT seed, dst FROM reach JOIN edges ON node = src)"
 UP = "up(seed, node) AS (SELECT dst, src FROM edges UNION SELECT seed, src FROM up JOIN edges ON node = dst)"
@@ -72,14 +73,14 @@ def closure_distances(spark, sf_dir):
 @query("closure_cyclic", f"""{CTE_CYCLIC}, {CLOSURE}
 SELECT seed, node FROM reach WHERE seed <> node""")
 def closure_cyclic(spark, sf_dir):
-    return traverse.every_closure(derive.star_graph(spark, sf_dir, cyclic=True).edges).select("seed", "node")
+    return traverse.every_closure(derive.star_graph(spark, sf_dir, derive.CYCLIC).edges).select("seed", "node")
 
 
-@query("graph_components", f"""{CTE}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+@query("graph_components", f"""{CTE_SUCCESSION}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(seed, node) AS (SELECT a, a FROM both_ways UNION SELECT seed, b FROM reach JOIN both_ways ON node = a)
 SELECT seed AS node, min(node) AS root FROM reach GROUP BY seed""")
 def graph_components(spark, sf_dir):
-    return traverse.components(derive.star_graph(spark, sf_dir).edges)
+    return traverse.components(derive.star_graph(spark, sf_dir, derive.SUCCESSION).edges)
 
 
 SCC = "scc AS (SELECT n.node AS node, least(n.node, coalesce(min(r.node), n.node)) AS scc FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN (SELECT a.seed, a.node FROM reach a JOIN reach b ON a.seed = b.node AND a.node = b.seed) r ON n.node = r.seed GROUP BY n.node)"
@@ -87,17 +88,17 @@ SCC = "scc AS (SELECT n.node AS node, least(n.node, coalesce(min(r.node), n.node
 
 @query("strong_components", f"{CTE_CYCLIC}, {CLOSURE}, {SCC} SELECT node, scc FROM scc")
 def strong_components(spark, sf_dir):
-    return traverse.strong_components(derive.star_graph(spark, sf_dir, cyclic=True).edges)
+    return traverse.strong_components(derive.star_graph(spark, sf_dir, derive.CYCLIC).edges)
 
 
 @query("strong_components_by_colouring", f"{CTE_CYCLIC}, {CLOSURE}, {SCC} SELECT node, scc FROM scc")
 def strong_components_by_colouring(spark, sf_dir):
-    return traverse.colouring_components(derive.star_graph(spark, sf_dir, cyclic=True).edges)
+    return traverse.colouring_components(derive.star_graph(spark, sf_dir, derive.CYCLIC).edges)
 
 
 @query("condensation_edges", f"{CTE_CYCLIC}, {CLOSURE}, {SCC} SELECT DISTINCT a.scc AS src, b.scc AS dst FROM edges JOIN scc a ON src = a.node JOIN scc b ON dst = b.node WHERE a.scc <> b.scc")
 def condensation_edges(spark, sf_dir):
-    e = derive.star_graph(spark, sf_dir, cyclic=True).edges
+    e = derive.star_graph(spark, sf_dir, derive.CYCLIC).edges
     return traverse.condensation(e, traverse.strong_components(e))
 
 
@@ -108,9 +109,9 @@ def longest_depth(spark, sf_dir):
     return traverse.longest_depth(g.edges, g.nodes.select(F.col("def_id").alias("node")))
 
 
-@query("terminals", f"{CTE} SELECT def_id, name FROM nodes WHERE def_id NOT IN (SELECT dst FROM edges)")
+@query("terminals", f"{CTE_SUCCESSION} SELECT def_id, name FROM nodes WHERE def_id NOT IN (SELECT dst FROM edges)")
 def terminals(spark, sf_dir):
-    return derive.star_graph(spark, sf_dir).terminals().select("def_id", "name")
+    return derive.star_graph(spark, sf_dir, derive.SUCCESSION).terminals().select("def_id", "name")
 
 
 @query("graph_stats", f"""WITH nodes AS ({derive.NODES}) SELECT 'total' AS axis, '' AS value, count(*) AS n FROM nodes
@@ -119,7 +120,7 @@ def graph_stats(spark, sf_dir):
     return cohesion.graph_stats(derive.star_graph(spark, sf_dir))
 
 
-@query("strata", f"""WITH nodes AS ({derive.NODES}), edges AS ({derive.DAG}),
+@query("strata", f"""WITH nodes AS ({derive.NODES}), edges AS ({derive.SUCCESSION}),
 mods AS (SELECT module, count(*) AS size, count(*) FILTER (kind IN ('datatype', 'record', 'postulate')) AS an FROM nodes GROUP BY module),
 e AS (SELECT s.module AS ms, t.module AS mt, split_part(s.module, '.', 1) AS s1, split_part(t.module, '.', 1) AS t1 FROM edges JOIN nodes s ON src = s.def_id JOIN nodes t ON dst = t.def_id),
 o AS (SELECT ms AS module, count(*) FILTER (ms = mt) AS internal, count(*) FILTER (ms <> mt) AS external, count(DISTINCT t1) FILTER (ms <> mt) AS spread, count(DISTINCT mt) FILTER (ms <> mt) AS ce FROM e GROUP BY ms),
@@ -131,7 +132,7 @@ r AS (SELECT *, CASE WHEN internal + external = 0 THEN 0.0e0 ELSE 1.0e0 - intern
 SELECT module, size, internal, external, spread, ce, ca, sibling, sibling_hits, round(lcom, 6) AS lcom, round(inst, 6) AS instability, round(ab, 6) AS abstractness,
  round(abs(ab + inst - 1), 6) AS distance, round(lcom * ln(1.0e0 + spread) * abs(abs(ab + inst - 1) - (1 - inst)), 6) AS incoherence FROM r WHERE size >= 3""")
 def strata(spark, sf_dir):
-    return rounded(cohesion.strata(derive.star_graph(spark, sf_dir)), "lcom", "instability", "abstractness", "distance", "incoherence")
+    return rounded(cohesion.strata(derive.star_graph(spark, sf_dir, derive.SUCCESSION)), "lcom", "instability", "abstractness", "distance", "incoherence")
 
 
 #: Subterms: the words of benchmark-sized texts, a definition a document, a module its source.
@@ -183,9 +184,9 @@ nn AS (SELECT count(DISTINCT owner)::DOUBLE AS n FROM b), one AS (SELECT item, c
 c AS (SELECT *, nx - n11 AS n10, ny - n11 AS n01, CAST(n AS BIGINT) - nx - ny + n11 AS n00 FROM t),
 k AS (SELECT x, y, n11, n10, n01, n00, least(nx, ny) AS mn, nx >= n OR ny >= n AS flat, unnest([n11, n10, n01, n00]) AS o, unnest([nx / n, nx / n, 1 - nx / n, 1 - nx / n]) AS px, unnest([ny / n, 1 - ny / n, ny / n, 1 - ny / n]) AS py, n FROM c),
 s AS (SELECT x, y, n11, n10, n01, n00, mn, bool_or(flat) AS flat, sum(CASE WHEN o > 0 AND px > 0 AND py > 0 THEN o / n * log2(o / n / (px * py)) ELSE 0.0e0 END) AS mi, sum(CASE WHEN o > 0 THEN -(o / n) * log2(o / n) ELSE 0.0e0 END) AS h, sum(CASE WHEN o > 0 AND px > 0 AND py > 0 THEN 2 * o * ln(o / n / (px * py)) ELSE 0.0e0 END) AS g FROM k GROUP BY ALL)
-SELECT x, y, n11, n10, n01, n00, round(mi, 6) AS mi, round(h, 6) AS h, round(CASE WHEN h <= 0 THEN 0.0e0 ELSE mi / h END, 6) AS iqr, round(CASE WHEN flat THEN 0.0e0 ELSE g END, 6) AS g, n10 + n01 > n11 AND n11 < mn AS anti FROM s""".replace("GROUP BY ALL", "GROUP BY x, y, n11, n10, n01, n00, mn"))
+SELECT x, y, n11, n10, n01, n00, round(mi, 6) AS mi, round(h, 6) AS h, round(CASE WHEN h <= 0 THEN 0.0e0 ELSE mi / h END, 6) AS iqr, round(CASE WHEN flat THEN 0.0e0 ELSE g END, 6) AS g, n10 + n01 > n11 AND n11 < mn AS anti FROM s WHERE h > 0 AND NOT flat AND g >= 6.635e0""".replace("GROUP BY ALL", "GROUP BY x, y, n11, n10, n01, n00, mn"))
 def entwine(spark, sf_dir):
-    return rounded(mining.entwined_pairs(_baskets(spark, sf_dir), min_iqr=-1.0, min_g=-1.0), "mi", "h", "iqr", "g")
+    return rounded(mining.entwined_pairs(_baskets(spark, sf_dir), min_iqr=0.0), "mi", "h", "iqr", "g")
 
 
 _ERFC = "((((1.061405429e0 * t - 1.453152027e0) * t + 1.421413741e0) * t - 0.284496736e0) * t + 0.254829592e0) * t * exp(-x * x)"
@@ -214,12 +215,17 @@ def concept_bundles(spark, sf_dir):
     return rounded(mining.concept_bundles(_baskets(spark, sf_dir), owners, 3, 1.1, 3, 3), "lift", "specificity").withColumn("items", F.array_join("items", ","))
 
 
-_THEOREMS = "theorems AS (SELECT def_id FROM nodes WHERE access = 'public' AND state <> 'P'), foot AS (SELECT t.def_id, a.def_id AS axiom FROM theorems t LEFT JOIN (SELECT r.seed, n.def_id FROM reach r JOIN nodes n ON r.node = n.def_id WHERE n.state = 'P') a ON t.def_id = a.seed)"
+_THEOREMS = "theorems AS (SELECT def_id FROM nodes WHERE access = 'public' AND kind <> 'other'), foot AS (SELECT t.def_id, a.def_id AS axiom FROM theorems t LEFT JOIN (SELECT r.seed, n.def_id FROM reach r JOIN nodes n ON r.node = n.def_id WHERE n.state = 'P') a ON t.def_id = a.seed)"
 
 
 @query("ledger_footprints", f"{CTE}, {CLOSURE}, {_THEOREMS} SELECT def_id, axiom FROM foot")
 def ledger_footprints(spark, sf_dir):
-    return trust.footprints(derive.star_graph(spark, sf_dir))
+    return trust.footprints(derive.star_graph(spark, sf_dir)).select("def_id", "axiom")
+
+
+@query("ledger", f"{CTE}, {CLOSURE}, {_THEOREMS} SELECT def_id, count(axiom) AS n_axioms, CAST(0 AS BIGINT) AS n_foundational FROM foot GROUP BY def_id")
+def ledger(spark, sf_dir):
+    return trust.ledger(trust.footprints(derive.star_graph(spark, sf_dir)))
 
 
 @query("ledger_cohorts", f"""{CTE}, {CLOSURE}, {_THEOREMS}, s AS (SELECT def_id, coalesce(string_agg(axiom, ',' ORDER BY axiom), '') AS axioms FROM foot GROUP BY def_id)
@@ -240,23 +246,24 @@ def debt_coverage(spark, sf_dir):
 
 @query("debt_schedule")
 def debt_schedule(spark, sf_dir):
-    return trust.debt_schedule(trust.debt_coverage(derive.star_graph(spark, sf_dir)), 10)
+    g = derive.star_graph(spark, sf_dir).stored()
+    return rounded(trust.debt_schedule(g, trust.debt_coverage(g)), "cum_pct")
 
 
 _PR = "nn AS (SELECT count(*)::DOUBLE AS n FROM nodes), deg AS (SELECT src, count(*)::DOUBLE AS d FROM edges GROUP BY src), m0 AS (SELECT def_id AS node, 1 / n AS m FROM nodes, nn)"
 _PR_ROUND = ", m{b} AS (SELECT def_id AS node, (1 - 0.85e0) / n + 0.85e0 * (SELECT coalesce(sum(m), 0.0e0) FROM m{a} WHERE node NOT IN (SELECT src FROM deg)) / n + 0.85e0 * coalesce(g.s, 0.0e0) AS m FROM nodes CROSS JOIN nn LEFT JOIN (SELECT dst, sum(m / d) AS s FROM m{a} JOIN edges ON node = edges.src JOIN deg ON edges.src = deg.src GROUP BY dst) g ON g.dst = def_id)"
 
 
-@query("pagerank", f"WITH nodes AS ({derive.NODES}), edges AS ({derive.CYCLIC}), {_PR}" + "".join(_PR_ROUND.format(a=i, b=i + 1) for i in range(5)) + " SELECT node, round(m, 9) AS mass FROM m5")
+@query("pagerank", f"WITH nodes AS ({derive.NODES}), edges AS ({derive.SUCCESSION}), {_PR}" + "".join(_PR_ROUND.format(a=i, b=i + 1) for i in range(5)) + " SELECT node, round(m, 9) AS mass FROM m5")
 def pagerank(spark, sf_dir):
-    g = derive.star_graph(spark, sf_dir, cyclic=True)
+    g = derive.star_graph(spark, sf_dir, derive.SUCCESSION)
     return rank.pagerank(g.nodes.select(F.col("def_id").alias("node")), g.edges, rounds=5, tol=0.0).select("node", F.round("mass", 9).alias("mass"))
 
 
 @query("pagerank_converged")
 def pagerank_converged(spark, sf_dir):
     """The power iteration up to its tolerance, which the fixed five rounds of ``pagerank`` and its SQL do not reach."""
-    g = derive.star_graph(spark, sf_dir, cyclic=True)
+    g = derive.star_graph(spark, sf_dir, derive.SUCCESSION)
     return rank.pagerank(g.nodes.select(F.col("def_id").alias("node")), g.edges).select("node", F.round("mass", 9).alias("mass"))
 
 
@@ -295,12 +302,12 @@ def echo(spark, sf_dir):
 
 @query("silhouette")
 def silhouette(spark, sf_dir):
-    return _flat(similarity.silhouette(derive.star_graph(spark, sf_dir), min_size=2), "root", "size", F.round("overlap", 6).alias("overlap"), "tag")
+    return _flat(similarity.silhouette(derive.star_graph(spark, sf_dir)), "root", "size", "pairs", F.round("overlap", 6).alias("overlap"), "tag")
 
 
 @query("load_bearing")
 def load_bearing(spark, sf_dir):
-    return rounded(geometry.load_bearing(derive.star_graph(spark, sf_dir, cyclic=True)), "span", "score")
+    return rounded(geometry.load_bearing(derive.star_graph(spark, sf_dir, derive.CYCLIC).stored(), top=None), "span", "score")
 
 
 _WALK = "f(node, d) AS (SELECT def_id, 0 FROM nodes WHERE state = 'P' UNION SELECT src, d + 1 FROM f JOIN edges ON node = dst WHERE src NOT IN (SELECT def_id FROM nodes WHERE state = 'P')), r(node, d) AS (SELECT def_id, 0 FROM nodes WHERE access = 'public' UNION SELECT dst, d + 1 FROM r JOIN edges ON node = src WHERE dst NOT IN (SELECT def_id FROM nodes WHERE access = 'public'))"
@@ -320,3 +327,6 @@ SELECT own.def_id AS scc, reach, CAST(fan AS BIGINT) AS fan, CAST(kinds AS BIGIN
 FROM own JOIN s ON seed = def_id JOIN d ON d.node = def_id JOIN b ON b.node = def_id""")
 def build_cost(spark, sf_dir):
     return rounded(geometry.build_cost(derive.star_graph(spark, sf_dir)), "cost", "lever")
+
+
+from quern.plans import answers  # noqa: E402, F401 - registers its queries

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
@@ -22,10 +24,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local runs) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, else, on a local master only, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -38,13 +42,54 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of :func:`materialise` before the end, once all that was made of them is stored too."""
+    for df in stored:
+        _written.remove(df.stored_at)
+        _delete(df.sparkSession, df.stored_at)
 
 
 def cleanup(spark: SparkSession) -> int:
     """Delete the tables that :func:`materialise` wrote in this process; call it when their results have been read."""
     n = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        n += _delete(spark, _written.pop())
     return n
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType, T.StringType, T.BinaryType)):
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df``, marked for broadcast if its rows take ``limit`` bytes or less; larger tables are joined by shuffles. ``df`` should be a stored table."""
+    width = F.lit(16)
+    for f in df.schema:
+        width = width + _width(f.name, f.dataType)
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, by: tuple[str, ...], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``big`` joined with ``small``, of one row a key: a key's rows in ``big`` are dealt over ``salts`` tasks by the hash of ``by``."""
+    left = big.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_deal"], how).drop("_deal")
