@@ -221,13 +221,13 @@ def removal_set(arg_usage: Column, position: Column) -> Column:
 def premise_families(df: DataFrame, positions: str = "positions", binders: str = "binders") -> DataFrame:
     """``df`` with ``families``: the distinct head symbols of the flagged positions' binder types."""
     ship(df.sparkSession)
-    key = [c for c in df.columns if c not in (positions, binders)]
-    flat = df.select("*", F.explode(F.col(positions)).alias("p")).withColumn("type", F.element_at(F.col(binders), F.col("p").cast("string"))["type"])
+    # a stored column: ids made on the way would differ between the two sides of the join
+    own = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "flagged")
+    flat = own.select("_row", F.explode(F.col(positions)).alias("p"), binders).withColumn("type", F.element_at(F.col(binders), F.col("p").cast("string"))["type"])
     head = F.substring_index(goals.head_symbol(F.col("type")), ".", -1)
     flat = flat.withColumn("family", F.when(F.col("type").isNull(), "(no binder type)").otherwise(F.coalesce(head, F.lit("(no head symbol)"))))
-    fam = flat.groupBy(*key).agg(F.array_sort(F.collect_set("family")).alias("families"))
-    cond = reduce(lambda x, y: x & y, (df[k].eqNullSafe(fam[k]) for k in key))
-    return df.join(fam, cond, "left").select(*(df[c] for c in df.columns), "families")
+    fam = flat.groupBy("_row").agg(F.array_sort(F.collect_set("family")).alias("families"))
+    return own.join(fam, "_row", "left").drop("_row")
 
 
 def unused_arguments(u: Usage, located: DataFrame, options: DataFrame) -> DataFrame:

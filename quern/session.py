@@ -79,17 +79,28 @@ def _width(name: str, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def bounded(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """``df``, marked for broadcast if its rows take ``limit`` bytes or less; larger tables are joined by shuffles. ``df`` should be a stored table."""
+#: Tables of so many bytes at most, as rows in memory, are broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a stored table take ``limit`` bytes or less."""
     width = F.lit(16)
     for f in df.schema:
         width = width + _width(f.name, f.dataType)
-    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if it fits; larger tables are joined by shuffles."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, by: tuple[str, ...], how: str = "inner", salts: int = 16) -> DataFrame:
-    """``big`` joined with ``small``, of one row a key: a key's rows in ``big`` are dealt over ``salts`` tasks by the hash of ``by``."""
+    """``big`` joined with the stored table ``small``, of one row a key: by broadcast if ``small`` fits, else a key's rows in
+    ``big`` are dealt over ``salts`` tasks by the hash of ``by``."""
+    if fits(small):
+        return big.join(F.broadcast(small), key, how)
     left = big.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     right = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_deal"], how).drop("_deal")
