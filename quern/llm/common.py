@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import itertools
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import ship
+from quern.operators import traverse
+from quern.session import bounded, cleanup, discard, materialise, salted_join, shared_dir, ship  # noqa: F401 - used by the operators as common.*
 
 #: Byte map for the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of text with A-Z lower-cased:
 #: separators become blanks, bytes of non-ASCII characters stay.
@@ -23,54 +22,11 @@ AZ_TABLE = bytes(
 #: Byte map that lower-cases A-Z only; ``bytes.split()`` then yields the words ``[^\x20\x09-\x0D]+``.
 LOWER_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-_local_dirs: dict[str, str] = {}
-_written: list[str] = []
-
-
 def az_words(text: bytes) -> list[bytes]:
     """Words made of digits, lower-cased ASCII letters and non-ASCII characters."""
     return text.translate(AZ_TABLE).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local runs) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
-    return _local_dirs[app]
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and reread it: the lineage is cut, and a lost executor costs only its tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(stored: DataFrame) -> None:
-    """Delete a table of :func:`materialise` before the end, once all that was made of it is stored too."""
-    spark, path = stored.sparkSession, stored.stored_at
-    _written.remove(path)
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cleanup(spark: SparkSession) -> int:
-    """Delete the tables that :func:`materialise` wrote in this process; call it when their results have been read."""
-    n = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames no longer referenced; a frame held in a variable keeps its own."""
     import gc
@@ -98,11 +54,6 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    """Number and combined hashes of distinct edges: equal tables, equal digests."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
-
-
 def tidy(run):
     """``run`` over batches that gives a worker's freed memory back to the system when a task ends."""
 
@@ -117,36 +68,17 @@ def tidy(run):
     return tidied
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table, as ``(node, root)`` with root the smallest node reachable.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of an edge table, as ``(node, root)`` with root the smallest node reachable."""
+    return traverse.components(edges, a, b)
 
-    Alternating large-star and small-star contraction: each round is two grouped minima, no node's
-    neighbourhood is ever gathered in one row, and every round's edges are written to the shared folder.
-    """
-    cur = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    spark = edges.sparkSession
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
-        both = cur.union(cur.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(
-            F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        nxt = materialise(small, "edges")
-        same = _digest(nxt) == _digest(cur)
-        cur = nxt
-        free_shuffles(spark)
-        if same:
-            break
-    else:
-        raise RuntimeError("components: no fixed point within max_rounds")
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+def unused_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or it with underscores added until ``df`` has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def take_batches(items, size: int):

@@ -24,8 +24,6 @@ from . import common, shingle
 U = np.uint64
 WIDTH, FUNCTIONS = 5, 4
 _FACTORS = np.random.default_rng(77).integers(0, 2**63, 32, dtype=np.uint64) * U(2) + U(1)
-#: So many alignments or cut documents at most are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
 #: Stretches of one document that one task cuts, about.
 SALT_ROWS = 256
 #: Tokens on either side of a pair's windows that are compared as well, and between windows that are compared in one stretch.
@@ -34,6 +32,7 @@ MARGIN, JOINED = 46, 512
 BLOCK, STREAM = 64, 512
 #: Pairs of equal tokens that are held at once when two stretches are compared, about.
 PAIRS = 1 << 21
+_NEVER = -(1 << 62)
 
 
 def compact_windows(tokens: np.ndarray, splits: np.ndarray, least: int, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +100,7 @@ def _windows(src: DataFrame, least: int, functions: int) -> DataFrame:
 
 
 def _runs(own: np.ndarray, rep: np.ndarray, order: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``(i, j, length)`` of each maximal diagonal run of equal tokens, ``order`` sorting ``rep``, ``lo`` and ``n`` the equal ones of each of ``own``."""
+    """``(i, j, length)`` of each maximal diagonal run of equal tokens, by i; ``order`` sorts ``rep``, ``lo`` and ``n`` give the equal ones of each of ``own``."""
     i = np.repeat(np.arange(len(own)), n)
     j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
     by = np.lexsort((i, j - i))
@@ -109,27 +108,33 @@ def _runs(own: np.ndarray, rep: np.ndarray, order: np.ndarray, lo: np.ndarray, n
     new = np.ones(len(i), bool)
     new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
     at = np.flatnonzero(new)
-    return np.stack((i[at], j[at], np.diff(np.append(at, len(i)))), axis=1)
+    runs = np.stack((i[at], j[at], np.diff(np.append(at, len(i)))), axis=1)
+    return runs[np.argsort(runs[:, 0], kind="stable")]
 
 
-def _chain(runs: np.ndarray, seed: np.ndarray, percent: int) -> tuple[int, int, int, int]:
-    """``(lo, hi, match_lo, match_hi)`` of a run and those before and after it that keep the similarity at ``percent`` %."""
+def _chain(runs: np.ndarray, most: int, seed: np.ndarray, percent: int) -> tuple[int, int, int, int]:
+    """``(lo, hi, match_lo, match_hi)`` of a run and those before and after it that keep the similarity at ``percent`` %.
+
+    ``most`` is the length of the longest run: what is further off than such a run could make up for is not looked at.
+    """
     lo, a, n = seed.tolist()
     hi, b, equal = lo + n, a + n, n
-    ri, rj, rn = runs.T
+    starts = runs[:, 0]
     while True:
+        reach = ((100 + percent) * equal - percent * (hi - lo + b - a) + (100 - percent) * most) // percent
+        x, y = np.searchsorted(starts, (lo - reach - most, hi + reach + 1))
+        ri, rj, rn = runs[x:y].T
         skip = np.maximum(np.maximum(hi - ri, b - rj), 0)  # what of a later run is before the end
         after = rn - skip
         drop = np.maximum(np.maximum(ri + rn - lo, rj + rn - a), 0)
         before = rn - drop
         best = None
         for more, total in ((after, (ri + rn - lo) + (rj + rn - a)), (before, (hi - ri) + (b - rj))):
-            ok = np.flatnonzero((more > 0) & ((100 + percent) * (equal + more) >= percent * total))
-            if len(ok):
-                at = ok[np.argmax((100 + percent) * more[ok] - percent * total[ok])]
-                gain = (100 + percent) * int(more[at]) - percent * int(total[at])
-                if best is None or gain > best[0]:
-                    best = gain, int(at), int(more[at]), more is after
+            gain = (100 + percent) * more - percent * total
+            gain[(more <= 0) | (gain + (100 + percent) * equal < 0)] = _NEVER
+            at = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[at] != _NEVER and (best is None or gain[at] > best[0]):
+                best = int(gain[at]), at, int(more[at]), more is after
         if best is None:
             return lo, hi, a, b
         _, at, more, later = best
@@ -140,12 +145,25 @@ def _chain(runs: np.ndarray, seed: np.ndarray, percent: int) -> tuple[int, int,
             lo, a = int(ri[at]), int(rj[at])
 
 
+def shortest_seed(least: int, percent: int) -> int:
+    """The least length that the longest run of a chain of ``least`` tokens can have.
+
+    Equal tokens are at least ``percent`` % of those of both sides less the equal ones. A word that differs is in
+    ``WIDTH`` shingles of one side and in all but one of the other, so the parts between m runs have at least
+    (2 WIDTH - 1) (m - 1) tokens on both sides together, and that many more must agree.
+    """
+    equal = -(-2 * percent * least // (100 + percent))
+    parted = lambda m: -(-(2 * WIDTH - 1) * (m - 1) * percent // (100 - percent)) if percent < 100 else 0
+    return min(-(-max(equal, parted(m)) // m) for m in (range(1, equal + 1) if percent < 100 else (1,)))
+
+
 def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, float]]:
     """``(from, to, match_from, similarity)`` stretches of ``least`` tokens or more whose sets agree by ``percent`` % with one of ``rep``.
 
     Runs of equal tokens on any diagonals are chained from the longest on, so that inserted and deleted words
-    only part runs. Runs inside a stretch already found give no further one. Of texts with more than ``PAIRS``
-    pairs of equal tokens, as one line repeated without end has, the runs are made and chained part by part.
+    only part runs. Runs inside a stretch already found give no further one, nor do runs shorter than any
+    chain's longest. Of texts with more than ``PAIRS`` pairs of equal tokens, as one line repeated without end
+    has, the runs are made and chained part by part.
     """
     order = np.argsort(rep, kind="stable")
     flat = rep[order]
@@ -153,6 +171,7 @@ def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tu
     n = np.searchsorted(flat, own, "right") - lo
     if np.count_nonzero(n) * (100 + percent) < 2 * percent * least:
         return []
+    longest = shortest_seed(least, percent)
     total, done, out, start = np.cumsum(n), np.zeros(len(own) + 1, np.int64), [], 0
     while start < len(own):
         base = int(total[start - 1]) if start else 0
@@ -160,27 +179,83 @@ def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tu
         if not done[start:end].all() and total[end - 1] > base:
             runs = _runs(own[start:end], rep, order, lo[start:end], n[start:end])
             runs[:, 0] += start
-            for k in np.argsort(-runs[:, 2], kind="stable").tolist():
-                i, j, m = runs[k].tolist()
-                if done[i : i + m].all():
-                    continue
-                seed = runs[k]
-                if end - start < len(own):  # a part: the run itself goes on outside it
-                    grow = min(len(own) - i, len(rep) - j)
-                    off = np.flatnonzero(own[i : i + grow] != rep[j : j + grow])
-                    seed = np.array((i, j, int(off[0]) if len(off) else grow))
-                for x, y, a, b in (_chain(runs, seed, percent), (int(seed[0]), int(seed[0] + seed[2]), int(seed[1]), int(seed[1] + seed[2]))):
-                    if min(y - x, b - a) >= least:
-                        u, v = np.unique(own[x:y]), np.unique(rep[a:b])
-                        same = len(np.intersect1d(u, v, assume_unique=True))
-                        if 100 * same >= percent * (len(u) + len(v) - same):
-                            out.append((x, y, a, same / (len(u) + len(v) - same)))
-                            done[x:y] = 1
-                            break
+            # a part's runs go on outside it, so any of them can be a chain's longest
+            part = end - start < len(own)
+            enough = np.full(len(runs), True) if part else runs[:, 2] >= longest
+            _passages(own, rep, runs, enough, part, done, out, least, percent)
+            if not part and out and not enough.all():
+                # shorter ones can still lead to stretches that reach into one already found
+                edge = np.flatnonzero(np.diff(done, prepend=0))
+                first, last = edge[::2], edge[1::2]
+                lo_, hi_ = runs[:, 0], runs[:, 0] + runs[:, 2]
+                near = np.zeros(len(runs), bool)
+                for x, y in zip(first.tolist(), last.tolist()):
+                    gap = np.maximum(np.maximum(x - hi_, lo_ - y), 0)
+                    near |= percent * gap <= (100 - percent) * (runs[:, 2] + y - x)
+                _passages(own, rep, runs, near & ~enough, part, done, out, least, percent)
         start = end
     return out
 
 
+def _passages(own, rep, runs, seeds, part, done, out, least, percent) -> None:
+    """Adds to ``out`` the stretches chained from ``runs[seeds]``, the longest first, and marks their places as ``done``.
+
+    Runs that overlap no stretch found come before those that do.
+    In texts that repeat themselves many runs have the same surroundings on both sides, as far as any chain of
+    theirs could look; where one of them gave too short a chain, the others are passed over.
+    """
+    todo = np.flatnonzero(seeds)
+    todo = todo[np.argsort(-runs[todo, 2], kind="stable")]
+    known = np.append(0, np.cumsum(done[:-1]))
+    left = lambda at: at[known[runs[at, 0] + runs[at, 2]] - known[runs[at, 0]] < runs[at, 2]]
+    todo = left(todo)
+    most = int(runs[:, 2].max())
+    around = 2 * least + most + ((100 - percent) * (2 * least + most)) // percent
+    context = lambda x, i, m: (min(i, around), x[max(i - around, 0) : i + m + around].tobytes())
+    short, at, later, apart = set(), 0, [], True
+    while at < len(todo) or later:
+        if at == len(todo):
+            # now those that overlap a stretch found, which the others may have covered
+            todo, at, later, apart = left(np.array(later)), 0, [], False
+            continue
+        seed = runs[todo[at]]
+        at += 1
+        i, j, m = seed.tolist()
+        over = known[i + m] - known[i]
+        if over:
+            if over < m:
+                later.append(todo[at - 1]) if apart else None
+            if over == m or apart:
+                continue
+        if part:
+            grow = min(len(own) - i, len(rep) - j)
+            off = np.flatnonzero(own[i : i + grow] != rep[j : j + grow])
+            seed = np.array((i, j, int(off[0]) if len(off) else grow))
+        key = hash((m, context(own, i, m), context(rep, j, m)))
+        if key in short:
+            continue
+        chained = _chain(runs, max(most, int(seed[2])), seed, percent)
+        for x, y, a, b in (chained, (int(seed[0]), int(seed[0] + seed[2]), int(seed[1]), int(seed[1] + seed[2]))):
+            if min(y - x, b - a) >= least:
+                u, v = np.unique(own[x:y]), np.unique(rep[a:b])
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * same >= percent * (len(u) + len(v) - same):
+                    out.append((x, y, a, same / (len(u) + len(v) - same)))
+                    done[x:y] = 1
+                    known = np.append(0, np.cumsum(done[:-1]))
+                    break
+        else:
+            x, y, a, b = chained
+            if max(y - x, b - a) < 2 * least:
+                short.add(key)
+            if y - x > m:
+                # shorter runs inside it would be chained alike; longer ones are passages by themselves
+                rest = runs[todo[at:]]
+                inside = (rest[:, 0] >= x) & (rest[:, 0] + rest[:, 2] <= y) & (rest[:, 1] >= a) & (rest[:, 1] + rest[:, 2] <= b) & (rest[:, 2] < least)
+                todo = todo[at:][~inside]
+                at = 0
+
+
 def _leads(wins: DataFrame) -> DataFrame:
     """The first document, and all its places, of each key that several documents have."""
     lead = wins.where("size(at) > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("at", "doc_id").alias("at"))
@@ -205,20 +280,20 @@ def stretches(places: list[int]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rep, doc_id, is_member, at, body``: the stretches of text, from word ``at``, of both documents of each pair.
+def _slices(src: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rep, doc_id, is_member, at, body``: the stretches of text, from word ``at``, of both documents of each pair; and the stored table it reads.
 
     A document's stretches are cut in tasks of about ``SALT_ROWS`` of them, so none is held for all its partners.
     """
     side = lambda owner, member, places: F.struct(F.col(owner).alias("owner"), F.lit(member).alias("is_member"), F.col(places).alias("places"))
     asked = pairs.select("rep", "doc_id", F.explode(F.array(side("doc_id", True, "mine"), side("rep", False, "theirs"))).alias("s")).select("rep", "doc_id", "s.*")
     salts = asked.groupBy("owner").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = asked.join(salts, "owner").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id"), F.col("salts")))
+    salts = common.materialise(salts.where("salts > 1"), "salts")
+    salted = common.salted_join(asked, salts, "owner", ("rep", "doc_id", "is_member"), "left").withColumn("salt", F.pmod(F.xxhash64("rep", "doc_id"), F.coalesce("salts", F.lit(1))))
     # dealt by the salt too: a document that is many others' representative would else meet in one task
     need = salted.repartition("owner", "salt").groupBy("owner", "salt").agg(F.collect_list(F.struct("rep", "doc_id", "is_member", "places")).alias("asked"))
     need = common.materialise(need.select("owner", "asked"), "needed")
-    if pairs.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
+    common.discard(salts)
     ddl = "rep long, doc_id long, is_member boolean, at long, body binary"
     schema = common.arrow_schema(ddl)
 
@@ -237,13 +312,13 @@ def _slices(src: DataFrame, pairs: DataFrame) -> DataFrame:
                             out["body"].append(body[starts[a] : ends[z - 1]])
             yield common.emit(out, schema)
 
-    held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").select("body", "asked")
-    return held.mapInArrow(common.tidy(run), ddl)
+    held = src.withColumnRenamed("doc_id", "owner").join(common.bounded(need), "owner").select("body", "asked")
+    return held.mapInArrow(common.tidy(run), ddl), need
 
 
 def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
-    """The passages that the documents of ``pairs`` share, as rows of :func:`repeated_passages`."""
-    held = _slices(src, pairs)
+    """The passages that the documents of ``pairs`` share, stored, as rows of :func:`repeated_passages`."""
+    held, need = _slices(src, pairs)
     common.free_shuffles(src.sparkSession)
     key = ("rep", "doc_id")
     held = held.repartition(*key).sortWithinPartitions(*key, "is_member")
@@ -275,7 +350,9 @@ def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int) -> Dat
                                 out[name].append(v)
                 yield common.emit(out, schema)
 
-    return held.mapInArrow(common.tidy(run), ddl).distinct()
+    found = common.materialise(held.mapInArrow(common.tidy(run), ddl).distinct(), "found")
+    common.discard(need)
+    return found
 
 
 def _unlinked(wins: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
@@ -284,21 +361,24 @@ def _unlinked(wins: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
     These windows, whose own token is in no passage found so far, are the leads.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - WIDTH + 1).alias("end"))).alias("spans"))
-    members = wins.select("key", "doc_id", "place").join(lead.select("key", "rep"), "key").where("doc_id <> rep").drop("rep")
+    members = wins.join(lead.select("key", "rep"), "key").where("doc_id <> rep").drop("rep")
     c = F.shiftright("place", 20)
     inside = F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
     members = common.materialise(members.join(spans, "doc_id", "left").select("key", "doc_id", "place", (~F.coalesce(inside, F.lit(False))).alias("is_lead")), "members", "lz4")
     # the one of smallest id has no earlier document left to meet
     several = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("is_lead"), F.col("doc_id"))).alias("b")).where("a < b").select("key")
-    return common.materialise(members.join(several, "key"), "unlinked", "lz4")
+    left = common.materialise(members.join(several, "key", "left_semi"), "unlinked")
+    common.discard(members)
+    return left
 
 
-def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
-    """``key, doc_id, rep, place, at``: each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
+def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFrame:
+    """The pairs, stored, of each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
 
     Leads are dealt out in blocks, and all windows of the group stream past each, so every lead meets all of them.
     A passage agrees with another in seven tenths or more of the tokens of some window; pairs of windows with less
-    than half of ``least`` in common are left out, and of windows of equal tokens a lead takes the first.
+    than half of ``least`` in common are left out, and of windows of equal tokens a lead takes the first. Tokens are
+    compared by 16 bits of their hashes, which can only make the common ones seem more.
     """
     need = left.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead")).alias("asked")).withColumnRenamed("doc_id", "owner")
     ddl = "key long, doc_id long, place long, is_lead boolean, tokens binary"
@@ -311,7 +391,7 @@ def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
                 tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
                 out = {k: [] for k in schema.names}
                 for i, key, own in zip(range(x, y), ids[x:y], asked[x:y]):
-                    t = (tok[splits[i - x] : splits[i - x + 1]] >> U(32)).astype(np.uint32)
+                    t = (tok[splits[i - x] : splits[i - x + 1]] >> U(48)).astype(np.uint16)
                     for q in own:
                         c = q["place"] >> 20
                         row = (q["key"], key, q["place"], q["is_lead"], np.unique(t[c - (q["place"] >> 10 & 1023) : c + (q["place"] & 1023)]).tobytes())
@@ -319,9 +399,10 @@ def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
                             out[name].append(v)
                 yield common.emit(out, schema)
 
-    own = common.materialise(src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl), "windows", "lz4")
+    own = common.materialise(src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl), "windows")
     per = own.groupBy("key").agg(F.ceil(F.count_if("is_lead") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / STREAM).cast("int").alias("salts"))
-    at = own.join(per, "key")
+    per = common.materialise(per, "per")
+    at = common.salted_join(own, per, "key", ("doc_id", "place"))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("doc_id", "place", "key"), F.col(n)).cast("int")
     names = ("key", "block", "salt")
@@ -340,7 +421,7 @@ def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
                 if where != cell:
                     where, leads, flat, met = cell, [], None, set()
                 if not is_member:
-                    leads.append((key, place, np.frombuffer(raw, np.uint32)))
+                    leads.append((key, place, np.frombuffer(raw, np.uint16)))
                     continue
                 if not leads or key >= leads[-1][0]:
                     continue
@@ -348,7 +429,7 @@ def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
                     flat = np.concatenate([t for _, _, t in leads])
                     order = np.argsort(flat, kind="stable")
                     flat, owner = flat[order], np.repeat(np.arange(len(leads)), [len(t) for _, _, t in leads])[order]
-                t = np.frombuffer(raw, np.uint32)
+                t = np.frombuffer(raw, np.uint16)
                 lo = np.searchsorted(flat, t, "left")
                 n = np.searchsorted(flat, t, "right") - lo
                 same = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(leads))
@@ -359,7 +440,9 @@ def _further(src: DataFrame, left: DataFrame, least: int) -> DataFrame:
                             out[name].append(v)
             yield common.emit(out, schema_out)
 
-    return held.mapInArrow(common.tidy(meet), ddl)
+    pairs = common.materialise(_pairs(held.mapInArrow(common.tidy(meet), ddl), enough), "aligned")
+    common.discard(own, per)
+    return pairs
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -374,19 +457,25 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
         raise ValueError("words must be from 6 to 500")
     src, least = common.documents(docs, id_col, text_col), words - WIDTH + 1
     spark = docs.sparkSession
-    wins = common.materialise(_windows(src, least, functions), "compact", "lz4")
-    lead = _leads(wins)
+    every = common.materialise(_windows(src, least, functions), "compact", "lz4")
+    lead = _leads(every)
+    common.free_shuffles(spark)
+    # most windows are of one document only; those of the other keys are all that is needed from here on
+    wins = common.materialise(common.salted_join(every.select("key", "doc_id", "place"), lead.select("key"), "key", ("doc_id", "place"), "left_semi"), "shared", "lz4")
+    common.discard(every)
     common.free_shuffles(spark)
     # no more pairs than the members have windows
-    pairs = common.materialise(_pairs(wins.drop("at").join(lead, "key").where("doc_id <> rep"), enough), "aligned")
-    found = common.materialise(_verified(src, pairs, least, percent), "found")
+    pairs = common.materialise(_pairs(wins.join(lead, "key").where("doc_id <> rep"), enough), "aligned")
+    found = _verified(src, pairs, least, percent)
+    common.discard(pairs)
     common.free_shuffles(spark)
     left = _unlinked(wins, lead, found)
-    common.discard(wins)
+    common.discard(wins, lead)
     common.free_shuffles(spark)
     if left.isEmpty():
         return found
-    pairs = common.materialise(_pairs(_further(src, left, least), enough), "aligned")
+    pairs = _further(src, left, least, enough)
+    common.discard(left)
     common.free_shuffles(spark)
     if pairs.isEmpty():
         return found
@@ -394,13 +483,16 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
 
 
 def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all of them and with all their columns, less the passages that an earlier document has."""
+    """The documents, all of them and with all their columns, less the passages that an earlier document has.
+
+    Null and empty texts, rows without an id and texts without such passages stay as they are; rows that repeat an
+    id are cut alike, at the same words. An empty table stays empty.
+    """
     found = common.materialise(repeated_passages(docs, words, percent, text_col=text_col, id_col=id_col, **options), "passages")
-    spans = found.groupBy(F.col("doc_id").alias("_cut")).agg(F.collect_set(F.struct("start", "n_words")).alias("_spans"))
-    spans = common.materialise(spans, "spans")
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    joined = docs.join(spans, docs[id_col].cast("long") == F.col("_cut"), "left").drop("_cut")
+    key, held = common.unused_name(docs, "_cut"), common.unused_name(docs, "_spans")
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "n_words")).alias(held))
+    spans = common.bounded(common.materialise(spans, "spans"))
+    joined = docs.join(spans, docs[id_col].cast("long") == F.col(key), "left").drop(key)
     import pyarrow as pa
 
     schema = joined.schema
@@ -417,10 +509,10 @@ def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col:
 
     def run(batches):
         for b in batches:
-            texts, spans_ = b.column(text_col).to_pylist(), b.column("_spans").to_pylist()
+            texts, spans_ = b.column(text_col).to_pylist(), b.column(held).to_pylist()
             new = [t if t is None or not s else cut(t.encode(), s).decode() for t, s in zip(texts, spans_)]
             at = b.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([pa.array(new, c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
-    clean = joined.where("_spans is null").drop("_spans")
-    return clean.unionByName(joined.where("_spans is not null").mapInArrow(common.tidy(run), schema).drop("_spans").select(*clean.columns))
+    clean = joined.where(F.col(held).isNull()).drop(held)
+    return clean.unionByName(joined.where(F.col(held).isNotNull()).mapInArrow(common.tidy(run), schema).drop(held).select(*clean.columns))
