@@ -7,10 +7,12 @@ ids and is decoded alone or, as here, side by side with the segment's other bloc
 Model of one id, given the block's two preceding ids:
 
 * order 2 and order 1 each predict the id that last followed the context, with a confidence 0..7 that rises
-  on a hit and falls to 0 on a miss; the confidence sets the probability mass of that one id;
+  on a hit and falls to 0 on a miss;
+* the mixing weight of each of the two is kept per block and confidence, as a 16-bit share that every coded id
+  moves towards 1 or 0 by a 32nd, so it learns how far that order's predictions hold in these very ids;
 * order 0 shares the remaining mass among all ids: adaptive class frequencies of the block times the
   frequencies within the class, from the segment's prior;
-* the three are stacked into one interval of a 32-bit total, coded by a carry-less 64-bit range coder.
+* the weighted three are stacked into one interval of a 30-bit total, coded by a carry-less 64-bit range coder.
 
 Integers only, so any machine decodes what any other encoded.
 """
@@ -26,17 +28,17 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC = b"QTB1"
-BLOCK = 1024
-CLASSES_LOG, WITHIN_LOG, H1, H2 = 12, 12, 9, 11
+MAGIC = b"QTB2"
+BLOCK = 2048
+CLASSES_LOG, WITHIN_LOG, H1, H2 = 12, 12, 10, 11
 U = np.uint64
 TOP, BOTTOM = U(1 << 48), U(1 << 32)
 TOTAL_LOG = U(30)
 TOTAL = 1 << 30
-#: Mass of an order-2 and of an order-1 prediction by confidence, of 2**30.
-MASS2 = np.array([0.002, 0.35, 0.6, 0.75, 0.85, 0.9, 0.94, 0.96]) * TOTAL
-MASS2 = MASS2.astype(np.uint64)
-MASS1 = (np.array([0.002, 0.12, 0.3, 0.45, 0.6, 0.7, 0.78, 0.85]) * (1 << 20)).astype(np.uint64)
+#: First weights, of 65536, of an order-2 and of an order-1 prediction by confidence, and the bounds of weights.
+WEIGHT2 = np.array([131, 22938, 39322, 49152, 55706, 58982, 61604, 62915], np.int32)
+WEIGHT1 = np.array([131, 7864, 19661, 29491, 39322, 45875, 51118, 55706], np.int32)
+LEAST_WEIGHT, MOST_WEIGHT, RATE = 48, 64500, 5
 RENEW = 64
 #: Stands for a null document id in a segment.
 NULL_ID = -(1 << 63)
@@ -89,6 +91,8 @@ class Lanes:
         self.t2 = np.zeros(n << H2, np.uint32)
         self.base1 = np.arange(n, dtype=np.int64) << H1
         self.base2 = np.arange(n, dtype=np.int64) << H2
+        self.w1, self.w2 = np.tile(WEIGHT1, n), np.tile(WEIGHT2, n)
+        self.eight = np.arange(n, dtype=np.int64) << 3
         self.a = np.zeros(n, np.int64)
         self.b = np.zeros(n, np.int64)
         self.counts = np.tile(zero.start, (n, 1))
@@ -98,7 +102,7 @@ class Lanes:
 
     def narrow(self, n: int) -> None:
         """Go on with the first ``n`` lanes."""
-        for name in ("base1", "base2", "a", "b", "rows"):
+        for name in ("base1", "base2", "eight", "a", "b", "rows"):
             setattr(self, name, getattr(self, name)[:n])
         self.counts = self.counts[:n]
         self.cum = np.ascontiguousarray(self.cum[:, :n])
@@ -115,8 +119,11 @@ class Lanes:
         self.i2 = self.base2 + (((self.a * 40503 + self.b) * 2654435761 >> 9) & ((1 << H2) - 1))
         self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
         self.p1, self.p2 = (self.e1 >> 3).astype(np.int64), (self.e2 >> 3).astype(np.int64)
-        self.m2 = MASS2[self.e2 & 7]
-        self.m1 = ((U(TOTAL) - self.m2) >> U(20)) * MASS1[self.e1 & 7]
+        self.at1, self.at2 = self.eight + (self.e1 & 7), self.eight + (self.e2 & 7)
+        self.v1, self.v2 = self.w1[self.at1], self.w2[self.at2]
+        self.m2 = self.v2.astype(np.uint64) << U(14)
+        # order 0 keeps 2**24 at least, so that no id's interval is empty
+        self.m1 = np.minimum(((U(TOTAL) - self.m2) >> U(16)) * self.v1.astype(np.uint64), U(TOTAL - (1 << 24)) - self.m2)
         self.low0 = self.m2 + self.m1
         self.rest = U(TOTAL) - self.low0
 
@@ -165,8 +172,12 @@ class Lanes:
 
     def update(self, ids: np.ndarray) -> None:
         new = (ids << 3).astype(np.uint32)
-        for table, at, entry, guess in ((self.t1, self.i1, self.e1, self.p1), (self.t2, self.i2, self.e2, self.p2)):
-            table[at] = np.where(guess == ids, np.minimum(entry & 7, 6) + 1 + new, new)
+        for table, at, entry, guess, weights, place, was in (
+            (self.t1, self.i1, self.e1, self.p1, self.w1, self.at1, self.v1), (self.t2, self.i2, self.e2, self.p2, self.w2, self.at2, self.v2),
+        ):
+            hit = guess == ids
+            table[at] = np.where(hit, np.minimum(entry & 7, 6) + 1 + new, new)
+            weights[place] = was + ((np.where(hit, MOST_WEIGHT, LEAST_WEIGHT) - was) >> RATE)
         self.flat[self.rows + self.zero.cls[ids]] += 24
         self.a, self.b = self.b, ids
         self.step += 1
@@ -174,18 +185,17 @@ class Lanes:
 
 def _shift(low: np.ndarray, rng: np.ndarray, out) -> None:
     """Carry-less normalisation: 16 settled bits leave at a time; ``out(lanes, words)`` takes them."""
-    while True:
-        far = (low ^ (low + rng)) >= TOP
-        short = rng < BOTTOM
-        go = np.flatnonzero(~far | short)
-        if not len(go):
-            return
-        cut = far[go]
+    far = (low ^ (low + rng)) >= TOP
+    go = np.flatnonzero(~far | (rng < BOTTOM))
+    while len(go):  # few lanes go twice
         lo = low[go]
-        r = np.where(cut, (U(0) - lo) & (BOTTOM - U(1)), rng[go])
+        r = np.where(far[go], (U(0) - lo) & (BOTTOM - U(1)), rng[go])
         out(go, lo >> U(48))
-        low[go] = lo << U(16)
-        rng[go] = r << U(16)
+        lo, r = lo << U(16), r << U(16)
+        low[go], rng[go] = lo, r
+        again = (lo ^ (lo + r)) >= TOP
+        far[go] = again
+        go = go[~again | (r < BOTTOM)]
 
 
 def _columns(n: int) -> list[tuple[int, int]]:

@@ -1,7 +1,9 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
 White space never becomes part of a token of these vocabularies, so a text's ids are those of its
-white-space-delimited chunks, one after the other; each worker keeps the ids of chunks it has met.
+white-space-delimited chunks, one after the other. A text of plain characters only is lower-cased and split into
+the pieces the tokenizer itself splits it into, and each worker keeps the ids of pieces it has met; in other
+texts that is done chunk by chunk, and what is not plain goes through the library.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import numpy as np
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters whose normal form, case and class are plain: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,19 +29,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Ids by chunk; an unknown chunk is encoded on the way."""
+    """Ids by text, of the newest ``size`` and the ``size`` before them; unknown ones are made on the way."""
 
-    def __init__(self, miss):
-        self.miss = miss
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.miss(chunk)
+    def __missing__(self, text: str) -> bytes:
+        got = self.old.get(text)
+        if got is None:
+            got = self.make(text)
+        if len(text) < 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[text] = got
+        return got
 
 
 class IdEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    ``chunks``: so many chunks are remembered at most, and as many of the previous generation.
+    ``chunks``: so many pieces, and so many chunks of texts that are not plain, are remembered twice over at most.
     """
 
     def __init__(self, path: str, chunks: int = 200_000):
@@ -47,10 +58,7 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.chunks = chunks
-        self.new: dict[str, bytes] = _Known(self._miss)
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.chunks = _Known(self._piece, chunks), _Known(self._chunk, chunks)
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -62,39 +70,26 @@ class IdEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
-            if len(self.pieces) >= self.chunks:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        if len(piece) >= 400:
+            return self._slow(piece)
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
 
-    def _miss(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
-        if got is None:
-            if self.fast and len(chunk) < 400 and "<|" not in chunk and _PLAIN.fullmatch(chunk):
-                low = chunk.lower()
-                if low.isalpha():
-                    got = self._piece(low)
-                elif low[:-1].isalpha() and low[-1] in ",.":
-                    got = self._piece(low[:-1]) + self._piece(low[-1])
-                else:
-                    got = b"".join(map(self._piece, _PIECE.findall(low)))
-            else:
-                got = self._slow(chunk)
-        if len(chunk) < 64:
-            if len(self.new) >= self.chunks:
-                self.old, self.new = self.new, _Known(self._miss)
-            self.new[chunk] = got
-        return got
+    def _chunk(self, chunk: str) -> bytes:
+        if self.fast and "<|" not in chunk and _PLAIN.fullmatch(chunk):
+            return self._pieced(chunk)
+        return self._slow(chunk)
+
+    def _pieced(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         if not self.chunked:
             return self._slow(text)
+        if self.fast and _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return self._pieced(text)
         parts = _SPACE.split(text) if _ODD.search(text) else text.split()
-        return b"".join(map(self.new.__getitem__, parts))
+        return b"".join(map(self.chunks.__getitem__, parts))
 
 
 _encoders: dict[str, IdEncoder] = {}
