@@ -18,8 +18,6 @@ from . import common
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The words before A-Z are lower-cased: the same places, as case changes no separator.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: So many benchmark shingles, windows or candidate rows at most are broadcast; more are joined by shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -42,10 +40,6 @@ def _hashes(lowered: Column, width: int) -> Column:
     ).otherwise(F.array().cast("array<long>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int = 20, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` per document row.
 
@@ -73,19 +67,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shin
     parts = [F.transform(_hashes(F.col("lw"), n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in sizes]
     cells = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.size("lw").cast("long").alias("h"))), *parts)
     cells = hashed.select("doc_id", "tkey", F.explode(cells).alias("e")).select("doc_id", "tkey", "e.pos", "e.h")
-    known = _small(keys.select(F.col("h").alias("k")).distinct())
+    known = common.bounded(keys.select(F.col("h").alias("k")).distinct())
     hits = cells.join(known, (F.when(F.col("pos") >= 0, F.col("h")) == F.col("k")), "left").where("pos < 0 or k is not null").drop("k")
     hits = common.materialise(hits, "hits")
     about, hits = hits.where("pos < 0").select("doc_id", "tkey", F.col("h").alias("n_words")), hits.where("pos >= 0").distinct()
     rarity = hits.groupBy("h").agg(F.count("*").alias("df"))
     rarest = keys.join(rarity, "h", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "h")).alias("k"), F.first("n").alias("n"))
     prefix = rarest.where("k.df > 0").select("window", "n", "k.h", "k.offset")
-    cand = hits.join(_small(prefix), "h").select("doc_id", "tkey", (F.col("pos") - F.col("offset")).alias("start"), "n", "window").where("start >= 0")
+    cand = hits.join(common.bounded(prefix), "h").select("doc_id", "tkey", (F.col("pos") - F.col("offset")).alias("start"), "n", "window").where("start >= 0")
     # a document has at most as many candidates as places times windows with the same rarest shingle
     cand = common.materialise(cand.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "n", "window")).alias("c")), "candidates")
 
     # stored words: were they an expression, each candidate would split its text anew
-    near = _small(cand.select(F.col("doc_id").alias("cd"), F.col("tkey").alias("ck")))
+    near = common.bounded(cand.select(F.col("doc_id").alias("cd"), F.col("tkey").alias("ck")))
     touched = docs.withColumn("tkey", tkey).join(near, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("tkey") == F.col("ck")), "left_semi")
     touched = touched.dropDuplicates(["doc_id", "tkey"]).select("doc_id", "tkey", _exact(_words(F.col("text"))).alias("w"))
     touched = common.materialise(touched, "touched").join(cand.withColumnsRenamed({"doc_id": "cd", "tkey": "ck"}), F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("tkey") == F.col("ck")))
@@ -112,9 +106,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shin
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that are not contaminated."""
-    marked = benchmark_hits(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(_small(common.materialise(marked, "contaminated")), docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("_hit")), "left_anti")
+    """The documents, with all their columns, in which no window of a benchmark item occurs.
+
+    One occurrence is enough, however long the document: the share of :func:`benchmark_hits` reports, it does not
+    filter. Null and empty texts stay; rows without an id go or stay together, as do rows that repeat one; either
+    table may be empty.
+    """
+    key = common.unused_name(docs, "_hit")
+    marked = benchmark_hits(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(common.bounded(common.materialise(marked, "contaminated")), docs[options.get("id_col", "doc_id")].eqNullSafe(F.col(key)), "left_anti")
 
 
 ORACLE = r"""
