@@ -21,10 +21,13 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, tokens
 
 SALTS = 64
+#: Runs of a plan that are broadcast; of longer plans the runs are joined.
+RUNS = 1_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -176,14 +179,16 @@ def pack(items: DataFrame, capacity: int, id_cols: tuple[str, ...] = ("doc_id",
     Lengths over the capacity, null or below 1 raise ValueError.
     """
     spark = items.sparkSession
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy(F.col(length).alias("_n"), "_salt").agg(F.count("*").alias("_c"))
+    name = lambda wanted: common.unused_name(items, wanted)
+    salt, rank, low, high = name("_salt"), name("_rank"), name("_low"), name("_high")
+    salted = items.withColumn(salt, F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).cast("int"))
+    cells = salted.groupBy(F.col(length).alias("n"), F.col(salt).alias("s")).agg(F.count("*").alias("c"))
     # at most capacity x SALTS rows
     rows = sorted((-1 if r[0] is None else r[0], r[1], r[2]) for r in cells.collect())
     counts: dict[int, int] = {}
     first = []
-    for n, salt, c in rows:
-        first.append((n, salt, counts.get(n, 0)))
+    for n, s, c in rows:
+        first.append((n, s, counts.get(n, 0)))
         counts[n] = counts.get(n, 0) + c
     runs, seq, taken = [], 0, {}
     for times, own in plan(counts, capacity):
@@ -192,39 +197,60 @@ def pack(items: DataFrame, capacity: int, id_cols: tuple[str, ...] = ("doc_id",
             runs.append((n, at, seq, offset, times))
             taken[n] = at + times
         seq += times
+    ranks = spark.createDataFrame(first or [(0, 0, 0)], "n long, s int, b long").toDF(low, salt, high)
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy(length, salt).orderBy(*id_cols)) - 1)
+    # at most capacity x SALTS rows
+    ranked = ranked.join(F.broadcast(ranks), (F.col(length) == F.col(low)) & (ranked[salt] == ranks[salt]))
+    ranked = ranked.select(*items.columns, (F.col(high) + F.col(rank)).alias(rank))
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    if len(runs) > RUNS:
+        return _placed_by_join(ranked, runs, items.columns, length, rank)
     by_length: dict[int, tuple[list, list, list]] = {}
     for n, at, s, offset, _ in runs:
         a, b, c = by_length.setdefault(n, ([], [], []))
         a.append(at)
         b.append(s - at)
         c.append(offset)
-    ranks = spark.createDataFrame(first or [(0, 0, 0)], "_n long, _salt int, _before long")
-    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*id_cols)) - 1)
-    ranked = ranked.join(F.broadcast(ranks), (F.col(length) == F.col("_n")) & (ranked["_salt"] == ranks["_salt"]))
-    ranked = ranked.select(*items.columns, (F.col("_before") + F.col("_r")).alias("_rank"))
+    # RUNS x 24 bytes at most
     lookup = spark.sparkContext.broadcast({n: tuple(np.array(x, np.int64) for x in v) for n, v in by_length.items()})
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
     import pyarrow as pa
 
     def run(batches):
         table = lookup.value
         for b in batches:
-            own, rank = b.column(length).to_numpy(zero_copy_only=False), b.column("_rank").to_numpy(zero_copy_only=False)
+            own, place = b.column(length).to_numpy(zero_copy_only=False), b.column(rank).to_numpy(zero_copy_only=False)
             seqs, offsets = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             order = np.argsort(own, kind="stable")
             edges = np.flatnonzero(np.diff(own[order], prepend=-1))
             for a, z in zip(edges, [*edges[1:], len(order)]):
                 at = order[a:z]
                 starts, shift, offset = table[int(own[at[0]])]
-                k = np.searchsorted(starts, rank[at], "right") - 1
-                seqs[at], offsets[at] = rank[at] + shift[k], offset[k]
-            kept = [c for n, c in zip(b.schema.names, b.columns) if n != "_rank"]
-            names = [n for n in b.schema.names if n != "_rank"]
+                k = np.searchsorted(starts, place[at], "right") - 1
+                seqs[at], offsets[at] = place[at] + shift[k], offset[k]
+            kept = [c for n, c in zip(b.schema.names, b.columns) if n != rank]
+            names = [n for n in b.schema.names if n != rank]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seqs), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(common.tidy(run), schema)
 
 
+def _placed_by_join(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]], columns: list[str], length: str, rank: str, stride: int = 4096) -> DataFrame:
+    """``columns, sequence_id, offset`` of ranked pieces by a join with the plan's runs ``(length, from rank, sequence, offset, times)``.
+
+    Ranks are cut into strides; a run is listed for each stride it reaches into, so the join is one of equal keys
+    and each piece meets the runs of its stride only.
+    """
+    import pandas as pd
+
+    spark = ranked.sparkSession
+    plan_of = spark.createDataFrame(pd.DataFrame(runs, columns=["n", "at", "seq", "off", "times"]).astype("int64"))
+    plan_of = plan_of.withColumn("stride", F.explode(F.sequence(F.floor(F.col("at") / stride), F.floor((F.col("at") + F.col("times") - 1) / stride))))
+    own = ranked.withColumn("stride", F.floor(F.col(rank) / stride))
+    inside = (own[length] == plan_of["n"]) & (own["stride"] == plan_of["stride"]) & (own[rank] >= plan_of["at"]) & (own[rank] < plan_of["at"] + plan_of["times"])
+    out = own.join(plan_of, inside)
+    return out.select(*(own[c] for c in columns), (plan_of["seq"] + own[rank] - plan_of["at"]).alias("sequence_id"), plan_of["off"].alias("offset"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Whole texts to packed pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
