@@ -194,7 +194,10 @@ def test_spectrum_by_joins_and_dense(spark):
     values = np.linalg.eigvalsh(np.eye(10) - s[:, None] * w * s)
     dense, vectors = spectral.spectrum(g, 2)
     assert dense == pytest.approx(values[:3].tolist())
-    joined, other = spectral.spectrum(g, 2, dense=0, tol=1e-9)
+    stepped, steps = spectral.spectrum(g, 2, dense=0)
+    assert stepped == pytest.approx(values[:3].tolist(), abs=1e-9)
+    assert {r.node: pytest.approx(r.v[1], abs=1e-6) for r in steps.collect()} == {r.node: r.v[1] for r in vectors.collect()}
+    joined, other = spectral.spectrum(g, 2, dense=0, kernel_edges=0, tol=1e-9)
     assert joined == pytest.approx(values[:3].tolist(), abs=1e-5)
     a, b = ({r.node: r.v[1] for r in v.collect()} for v in (vectors, other))
     sign = np.sign(a[0] * b[0])
