@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MAGIC = b"QTB2"
-BLOCK = 2048
+BLOCK = 1024
 CLASSES_LOG, WITHIN_LOG, H1, H2 = 12, 12, 10, 11
 U = np.uint64
 TOP, BOTTOM = U(1 << 48), U(1 << 32)

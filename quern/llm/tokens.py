@@ -18,6 +18,9 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 #: Characters whose normal form, case and class are plain: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_BLANK = re.compile("[\t-\r ]")
+#: Characters of a text that are taken at once, about.
+LONG = 1 << 20
 _PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
@@ -86,6 +89,19 @@ class IdEncoder:
     def encode(self, text: str) -> bytes:
         if not self.chunked:
             return self._slow(text)
+        if len(text) > LONG:  # cut at white space, so that a very long text's pieces are never held at once
+            out, at = [], 0
+            while at < len(text):
+                cut = _BLANK.search(text, min(at + LONG, len(text)))
+                end = cut.start() if cut else len(text)
+                out.append(self._encode(text[at:end]))
+                at = end
+                while at < len(text) and at == end and text[at] in " \t\n\r\x0b\x0c":
+                    at = end = at + 1
+            return b"".join(out)
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         if self.fast and _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
             return self._pieced(text)
         parts = _SPACE.split(text) if _ODD.search(text) else text.split()
