@@ -361,14 +361,15 @@ def _unlinked(wins: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
     These windows, whose own token is in no passage found so far, are the leads.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - WIDTH + 1).alias("end"))).alias("spans"))
-    members = wins.join(lead.select("key", "rep"), "key").where("doc_id <> rep").drop("rep")
+    members = common.salted_join(wins.select("key", "doc_id", "place"), lead.select("key", "rep"), "key", ("doc_id", "place")).where("doc_id <> rep").drop("rep")
     c = F.shiftright("place", 20)
     inside = F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
     members = common.materialise(members.join(spans, "doc_id", "left").select("key", "doc_id", "place", (~F.coalesce(inside, F.lit(False))).alias("is_lead")), "members", "lz4")
     # the one of smallest id has no earlier document left to meet
     several = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("is_lead"), F.col("doc_id"))).alias("b")).where("a < b").select("key")
-    left = common.materialise(members.join(several, "key", "left_semi"), "unlinked")
-    common.discard(members)
+    several = common.materialise(several, "several")
+    left = common.materialise(common.salted_join(members, several, "key", ("doc_id", "place"), "left_semi"), "unlinked")
+    common.discard(members, several)
     return left
 
 
@@ -465,7 +466,8 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     common.discard(every)
     common.free_shuffles(spark)
     # no more pairs than the members have windows
-    pairs = common.materialise(_pairs(wins.join(lead, "key").where("doc_id <> rep"), enough), "aligned")
+    met = common.salted_join(wins, lead, "key", ("doc_id", "place")).where("doc_id <> rep")
+    pairs = common.materialise(_pairs(met, enough), "aligned")
     found = _verified(src, pairs, least, percent)
     common.discard(pairs)
     common.free_shuffles(spark)
