@@ -68,12 +68,16 @@ class BlockMaxIndex:
         order = sorted(range(self.n), key=lambda i: (heaviest(vectors[i]), i))
         self.example = np.array(order, np.int64)
         self.row_scale = rows_by[self.example] if self.n else rows_by
-        none = np.zeros(0, np.int64), np.zeros(0)
-        terms, weights = (np.concatenate(x) for x in zip(none, *(vectors[i] for i in order)))
-        rows = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        # numbers of weights and 32-bit places from the start: the driver builds this
+        self.values = np.unique(np.concatenate([np.zeros(0), *(np.unique(w) for _, w in vectors)]))
+        number = np.min_scalar_type(max(len(self.values) - 1, 0))
+        code = np.concatenate([np.zeros(0, number), *(np.searchsorted(self.values, vectors[i][1]).astype(number) for i in order)])
+        terms = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[i][0]) for i in order])
+        del vectors
         by = np.argsort(terms, kind="stable")
-        terms, rows = terms[by], rows[by]
-        self.values, code = np.unique(weights[by], return_inverse=True)
+        terms, rows, code = terms[by], rows[by], code[by]
+        del by
         held = np.bincount(terms, minlength=n_terms)
         often = np.argsort(-held, kind="stable")[:common]
         self.slot = np.full(n_terms, -1, np.int16)
@@ -197,13 +201,14 @@ class ToxicityModel:
         """``examples``: (doc_id, places in ``words``, their counts, label) rows; ``words``: sorted hashes, in ``df`` of all ``n`` documents."""
         self.k, self.words = k, words
         self.idf = np.log((1 + n) / (1 + df)) + 1
-        examples = sorted(examples, key=lambda e: e[0])
+        examples.sort(key=lambda e: e[0])
         plain = [label for _, own, _, label in examples if not len(own)]
         examples = [e for e in examples if len(e[1])]
         self.ids, self.y = np.array([e[0] for e in examples], np.int64), np.array([e[3] for e in examples], np.float64)
         self.rate = (float(self.y.sum()) + sum(plain) + 0.5) / (len(self.y) + len(plain) + 1)
         self.none = (sum(plain) + 0.2 * self.rate) / (len(plain) + 0.2)
         own = [(at, 1 + np.log(counts)) for _, at, counts, _ in examples]
+        del examples
         norm = np.array([1 / math.sqrt(float(((w * self.idf[at]) ** 2).sum())) for at, w in own])
         self.index = BlockMaxIndex(own, len(words), self.idf, norm)
 
@@ -314,8 +319,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     found = [(r.doc_id, np.frombuffer(r.words, "<u8"), np.frombuffer(r.counts, "<i4"), r.y) for r in held.toLocalIterator()]
     words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _, _ in found)]))
     df, n = document_frequencies(src, words)
-    model = ToxicityModel([(key, np.searchsorted(words, w), c, y) for key, w, c, y in found], words, df, n, k)
-    del found
+    for i, (key, w, c, y) in enumerate(found):  # each in place of its hashes
+        found[i] = (key, np.searchsorted(words, w).astype(np.int32), c, y)
+    model = ToxicityModel(found, words, df, n, k)
+    found.clear()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl_votes = "doc_id long, vote double"
     schema_votes = common.arrow_schema(ddl_votes)
