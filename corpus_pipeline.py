@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five operators, one after the other, on all that the last one kept."""
+"""A training corpus from ``documents``: five operators, one after the other, on all that the last one kept.
+
+In every stage null and empty texts and rows without an id are documents like any other and stay; rows that repeat an
+id are judged by their texts, and stay or go together where an id is what is judged; columns that the stages do not
+know pass through, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from quern.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold."""
+    """Documents under the toxicity threshold; equal texts are judged alike, ties with it go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,7 +36,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items do not contaminate."""
+    """Documents in which no window of a benchmark item occurs, not even once."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
