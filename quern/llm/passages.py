@@ -15,6 +15,8 @@ shingles are alike enough.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ SALT_ROWS = 256
 #: Tokens on either side of a pair's windows that are compared as well, and between windows that are compared in one stretch.
 MARGIN, JOINED = 46, 512
 #: Leads of a block, and windows that one task streams past it, among members that did not match the first document, about.
-BLOCK, STREAM = 64, 512
+BLOCK, STREAM = 1024, 8192
+#: Windows of a group whose tokens one task counts, about.
+GROUP = 4096
 #: Pairs of equal tokens that are held at once when two stretches are compared, about.
 PAIRS = 1 << 21
 _NEVER = -(1 << 62)
@@ -257,9 +261,9 @@ def _passages(own, rep, runs, seeds, part, done, out, least, percent) -> None:
 
 
 def _leads(wins: DataFrame) -> DataFrame:
-    """The first document, and all its places, of each key that several documents have."""
-    lead = wins.where("size(at) > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("at", "doc_id").alias("at"))
-    return common.materialise(lead.where("rep <> other").select("key", "rep", "at"), "leads")
+    """The first document, all its places and the number of windows of each key that several documents have."""
+    lead = wins.where("size(at) > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by("at", "doc_id").alias("at"), F.sum(F.size("at")).alias("n"))
+    return common.materialise(lead.where("rep <> other").select("key", "rep", "at", "n"), "leads")
 
 
 def _pairs(both: DataFrame, enough: int) -> DataFrame:
@@ -361,28 +365,57 @@ def _unlinked(wins: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
     These windows, whose own token is in no passage found so far, are the leads.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - WIDTH + 1).alias("end"))).alias("spans"))
-    members = common.salted_join(wins.select("key", "doc_id", "place"), lead.select("key", "rep"), "key", ("doc_id", "place")).where("doc_id <> rep").drop("rep")
+    members = common.salted_join(wins.select("key", "doc_id", "place"), lead.select("key", "rep", "n"), "key", ("doc_id", "place"), rows="n").where("doc_id <> rep").drop("rep")
     c = F.shiftright("place", 20)
     inside = F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
     members = common.materialise(members.join(spans, "doc_id", "left").select("key", "doc_id", "place", (~F.coalesce(inside, F.lit(False))).alias("is_lead")), "members", "lz4")
     # the one of smallest id has no earlier document left to meet
-    several = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("is_lead"), F.col("doc_id"))).alias("b")).where("a < b").select("key")
+    several = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("is_lead"), F.col("doc_id"))).alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
     several = common.materialise(several, "several")
-    left = common.materialise(common.salted_join(members, several, "key", ("doc_id", "place"), "left_semi"), "unlinked")
+    left = common.materialise(common.salted_join(members, several, "key", ("doc_id", "place"), "left_semi", rows="n"), "unlinked")
     common.discard(members, several)
     return left
 
 
-def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFrame:
-    """The pairs, stored, of each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
+def shared_tokens(rows: list[tuple[int, bool, np.ndarray]]) -> list[tuple[np.ndarray, int, int]]:
+    """Of each window ``(doc_id, is_lead, tokens)`` of a group: the tokens that it can have in common with a pair's other window, and their numbers as a lead and as a member.
 
-    Leads are dealt out in blocks, and all windows of the group stream past each, so every lead meets all of them.
-    A passage agrees with another in seven tenths or more of the tokens of some window; pairs of windows with less
-    than half of ``least`` in common are left out, and of windows of equal tokens a lead takes the first. Tokens are
-    compared by 16 bits of their hashes, which can only make the common ones seem more.
+    A pair is a lead and a window of an earlier document, so a lead's tokens count if an earlier document has them, a member's if a later lead has.
+    """
+    sizes = [len(t) for _, _, t in rows]
+    own = np.repeat(np.arange(len(rows)), sizes)
+    ids, leads = np.array([k for k, _, _ in rows], np.int64), np.array([x for _, x, _ in rows], bool)
+    flat = np.concatenate([t for _, _, t in rows])
+    if not len(flat):
+        return [(t, 0, 0) for _, _, t in rows]
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = np.diff(flat[order]) != 0
+    first = np.flatnonzero(new)
+    least, most = np.iinfo(np.int64).min, np.diff(np.append(first, len(flat)))
+    holder = own[order]
+    earliest = np.minimum.reduceat(ids[holder], first)
+    latest = np.maximum.reduceat(np.where(leads[holder], ids[holder], least), first)
+    as_lead, as_member = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    as_lead[order] = leads[holder] & (np.repeat(earliest, most) < ids[holder])
+    as_member[order] = np.repeat(latest, most) > ids[holder]
+    a, b = (np.bincount(own[x], minlength=len(rows)).tolist() for x in (as_lead, as_member))
+    ends = np.cumsum([0, *sizes])
+    keep = as_lead | as_member
+    return [(flat[x:y][keep[x:y]], m, n) for x, y, m, n in zip(ends[:-1], ends[1:], a, b)]
+
+
+def _comparable(src: DataFrame, left: DataFrame, few: int) -> DataFrame:
+    """``key, doc_id, place, is_lead, is_member, whole, tokens``, stored: the windows of ``left`` that can have ``few`` tokens in common with another.
+
+    ``tokens`` are those of :func:`shared_tokens`, as 32 bits of their hashes, which can only make more of them seem
+    common; ``whole`` is a hash of all that the window and its margins hold, in order. The tokens of a large group are counted part by part.
     """
-    need = left.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead")).alias("asked")).withColumnRenamed("doc_id", "owner")
-    ddl = "key long, doc_id long, place long, is_lead boolean, tokens binary"
+    often = left.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    often = common.materialise(often, "often")
+    dealt = left.join(common.bounded(often), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    need = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead", "parts")).alias("asked")).withColumnRenamed("doc_id", "owner")
+    ddl = "key long, part int, parts int, doc_id long, place long, is_lead boolean, whole long, tokens binary"
     schema = common.arrow_schema(ddl)
 
     def cut(batches):
@@ -392,24 +425,79 @@ def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFr
                 tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
                 out = {k: [] for k in schema.names}
                 for i, key, own in zip(range(x, y), ids[x:y], asked[x:y]):
-                    t = (tok[splits[i - x] : splits[i - x + 1]] >> U(48)).astype(np.uint16)
+                    t = (tok[splits[i - x] : splits[i - x + 1]] >> U(32)).astype(np.uint32)
                     for q in own:
                         c = q["place"] >> 20
-                        row = (q["key"], key, q["place"], q["is_lead"], np.unique(t[c - (q["place"] >> 10 & 1023) : c + (q["place"] & 1023)]).tobytes())
-                        for name, v in zip(schema.names, row):
-                            out[name].append(v)
+                        a, z = c - (q["place"] >> 10 & 1023), c + (q["place"] & 1023)
+                        mine, around = np.unique(t[a:z]), t[max(a - MARGIN, 0) : z + MARGIN]
+                        whole = int.from_bytes(hashlib.blake2b(around.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        for part in range(q["parts"]):
+                            some = mine[mine % q["parts"] == part] if q["parts"] > 1 else mine
+                            row = (q["key"], part, q["parts"], key, q["place"], q["is_lead"], whole, some.tobytes())
+                            for name, v in zip(schema.names, row):
+                                out[name].append(v)
                 yield common.emit(out, schema)
 
-    own = common.materialise(src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl), "windows")
-    per = own.groupBy("key").agg(F.ceil(F.count_if("is_lead") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / STREAM).cast("int").alias("salts"))
-    per = common.materialise(per, "per")
+    held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl)
+    held = held.repartition("key", "part").sortWithinPartitions("key", "part")
+    ddl = "key long, part int, parts int, doc_id long, place long, whole long, tokens binary, n_lead int, n_member int"
+    schema_out = common.arrow_schema(ddl)
+
+    def counted(group, out):
+        for (key, part, parts, doc, place, _, whole, _), (tokens, n, m) in zip(group, shared_tokens([(r[3], r[5], np.frombuffer(r[7], np.uint32)) for r in group])):
+            if n or m if parts > 1 else max(n, m) >= few:
+                for name, v in zip(schema_out.names, (key, part, parts, doc, place, whole, tokens.tobytes(), n, m)):
+                    out[name].append(v)
+
+    def run(batches):
+        at, group = None, []
+        for b in batches:
+            out = {k: [] for k in schema_out.names}
+            for row in zip(*(b.column(c).to_pylist() for c in schema.names)):
+                if at != row[:2]:
+                    if group:
+                        counted(group, out)
+                    at, group = row[:2], []
+                group.append(row)
+            yield common.emit(out, schema_out)
+        if group:
+            out = {k: [] for k in schema_out.names}
+            counted(group, out)
+            yield common.emit(out, schema_out)
+
+    kept = common.materialise(held.mapInArrow(common.tidy(run), ddl), "counted")
+    common.discard(often)
+    names = ("key", "doc_id", "place")
+    sides = lambda n, m: ((F.col(n) >= few).alias("is_lead"), (F.col(m) >= few).alias("is_member"))
+    small = kept.where("parts = 1").select(*names, *sides("n_lead", "n_member"), "whole", "tokens")
+    large = kept.where("parts > 1").groupBy(*names, "whole").agg(F.sum("n_lead").alias("n"), F.sum("n_member").alias("m"), F.collect_list("tokens").alias("t"))
+    joined = F.aggregate("t", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    large = large.where(F.greatest("n", "m") >= few).select(*names, *sides("n", "m"), "whole", joined.alias("tokens"))
+    out = common.materialise(small.union(large), "windows")
+    common.discard(kept)
+    return out
+
+
+def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFrame:
+    """The pairs, stored, of each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
+
+    Leads are dealt out in blocks, and all windows of the group stream past each, so every lead meets all of them.
+    A passage agrees with another in seven tenths or more of the tokens of some window; pairs of windows with less
+    than half of ``least`` in common are left out, and windows that cannot have as many with another are before they
+    are dealt. Of windows whose text is the same, margins and all, a lead takes the first.
+    """
+    few = -(-least // 2)
+    own = _comparable(src, left, few)
+    common.free_shuffles(src.sparkSession)
+    per = own.groupBy("key").agg(F.ceil(F.count_if("is_lead") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("is_member") / STREAM).cast("int").alias("salts"))
+    per = common.materialise(per.where("blocks > 0 and salts > 0"), "per")
     at = common.salted_join(own, per, "key", ("doc_id", "place"))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("doc_id", "place", "key"), F.col(n)).cast("int")
     names = ("key", "block", "salt")
     lead = at.where("is_lead").withColumn("block", deal("blocks")).withColumn("salt", cells("salts"))
-    past = at.withColumn("salt", deal("salts")).withColumn("block", cells("blocks"))
-    side = lambda df, member: df.select(*names, F.lit(member).alias("is_member"), "doc_id", "place", "tokens")
+    past = at.where("is_member").withColumn("salt", deal("salts")).withColumn("block", cells("blocks"))
+    side = lambda df, member: df.select(*names, F.lit(member).alias("is_member"), "doc_id", "place", "whole", "tokens")
     held = side(lead, False).union(side(past, True)).repartition(*names).sortWithinPartitions(*names, "is_member", "doc_id")
     ddl = "key long, doc_id long, rep long, place long, at array<long>"
     schema_out = common.arrow_schema(ddl)
@@ -418,11 +506,11 @@ def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFr
         where, leads, flat, met = None, [], None, set()
         for b in batches:
             out = {k: [] for k in schema_out.names}
-            for *cell, is_member, key, place, raw in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "place", "tokens"))):
+            for *cell, is_member, key, place, whole, raw in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "place", "whole", "tokens"))):
                 if where != cell:
                     where, leads, flat, met = cell, [], None, set()
                 if not is_member:
-                    leads.append((key, place, np.frombuffer(raw, np.uint16)))
+                    leads.append((key, place, np.frombuffer(raw, np.uint32)))
                     continue
                 if not leads or key >= leads[-1][0]:
                     continue
@@ -430,13 +518,13 @@ def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFr
                     flat = np.concatenate([t for _, _, t in leads])
                     order = np.argsort(flat, kind="stable")
                     flat, owner = flat[order], np.repeat(np.arange(len(leads)), [len(t) for _, _, t in leads])[order]
-                t = np.frombuffer(raw, np.uint16)
+                t = np.frombuffer(raw, np.uint32)
                 lo = np.searchsorted(flat, t, "left")
                 n = np.searchsorted(flat, t, "right") - lo
                 same = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(leads))
-                for i in np.flatnonzero(2 * same >= least).tolist():
-                    if key < leads[i][0] and (i, raw) not in met:
-                        met.add((i, raw))
+                for i in np.flatnonzero(same >= few).tolist():
+                    if key < leads[i][0] and (i, whole) not in met:
+                        met.add((i, whole))
                         for name, v in zip(schema_out.names, (cell[0], leads[i][0], key, leads[i][1], [place])):
                             out[name].append(v)
             yield common.emit(out, schema_out)
@@ -462,11 +550,11 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     lead = _leads(every)
     common.free_shuffles(spark)
     # most windows are of one document only; those of the other keys are all that is needed from here on
-    wins = common.materialise(common.salted_join(every.select("key", "doc_id", "place"), lead.select("key"), "key", ("doc_id", "place"), "left_semi"), "shared", "lz4")
+    wins = common.materialise(common.salted_join(every.select("key", "doc_id", "place"), lead.select("key", "n"), "key", ("doc_id", "place"), "left_semi", rows="n"), "shared", "lz4")
     common.discard(every)
     common.free_shuffles(spark)
     # no more pairs than the members have windows
-    met = common.salted_join(wins, lead, "key", ("doc_id", "place")).where("doc_id <> rep")
+    met = common.salted_join(wins, lead, "key", ("doc_id", "place"), rows="n").where("doc_id <> rep")
     pairs = common.materialise(_pairs(met, enough), "aligned")
     found = _verified(src, pairs, least, percent)
     common.discard(pairs)

@@ -8,8 +8,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quern import session
 from quern.llm import common, decontaminate, licenses, neardup, packing, passages, progressive, quality, queries, shingle, tokenbin, tokens, toxicity, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -371,6 +373,47 @@ def test_op7_members_unlike_the_first_document(spark):
     assert got == want
 
 
+def test_op7_common_lines_are_not_compared(spark):
+    rng = np.random.default_rng(29)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line, p = new(15), new(50)
+    # all share a line, which leads a window of each; two share a passage too
+    rows = [(k, " ".join(new(60) + line + new(60))) for k in range(40)]
+    rows += [(100 + k, " ".join(new(60) + line + p + new(60))) for k in range(2)]
+    src = common.documents(docs(spark, rows))
+    wins = common.materialise(passages._windows(src, 46, 1), "compact")
+    often = wins.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).where("n > 30").select("key")
+    assert often.count()
+    left = wins.join(often, "key").selectExpr("key", "doc_id", "place", "true AS is_lead")
+    for group in (4096, 5):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(passages, "GROUP", group)
+            assert {r.doc_id for r in passages._comparable(src, left, 16).collect()} <= {100, 101}
+    got = {tuple(r) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(101, 60, 65, 100, 60, 1.0)}
+
+
+def test_op7_shared_tokens_against_all_pairs():
+    rng = np.random.default_rng(30)
+    rows = [(int(rng.integers(0, 12)), bool(rng.integers(0, 2)), np.unique(rng.integers(0, 60, 12).astype(np.uint32))) for _ in range(40)]
+    for (i, lead, t), (kept, n, m) in zip(rows, passages.shared_tokens(rows)):
+        as_lead = {x for j, _, u in rows if lead and j < i for x in u.tolist()} & set(t.tolist())
+        as_member = {x for j, other, u in rows if other and j > i for x in u.tolist()} & set(t.tolist())
+        assert (set(kept.tolist()), n, m) == (as_lead | as_member, len(as_lead), len(as_member))
+
+
+def test_salted_join_deals_only_frequent_keys(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session.fits, "__defaults__", (0,))
+    monkeypatch.setattr(session, "KEY_ROWS", 100)
+    big = spark.range(1000).selectExpr("if(id < 700, 0, id) AS key", "id AS doc_id")
+    small = common.materialise(big.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("key % 2 = 0"), "small")
+    got = common.salted_join(big, small, "key", ("doc_id",), rows="n")
+    assert got.columns == ["key", "doc_id", "least"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, 0 if k == 0 else i) for k, i in map(tuple, big.collect()) if k % 2 == 0)
+    assert common.salted_join(big, small, "key", ("doc_id",), "left_semi", rows="n").count() == got.count()
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_op7_windows_hold_every_run(repeated):
     rng = np.random.default_rng(4)
