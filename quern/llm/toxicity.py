@@ -353,6 +353,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
     model = fit_toxicity(docs, labels, folds=folds, fold=fold, text_col=text_col, id_col=id_col, **options)
     src = common.documents(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # the driver needs it no more
+    del model
+    common.give_back()
     ddl_out = "doc_id long, held_out boolean, score double, predicted int, nearest_ids array<long>, nearest_cosines array<double>"
     out_schema = common.arrow_schema(ddl_out)
 
@@ -375,6 +378,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
     text, equal texts alike; rows without an id stay or go by their text. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options))
+    common.give_back()
 
     def run(batches):
         for b in batches:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
+import gc
 import hashlib
 import math
 import re
@@ -177,6 +178,19 @@ def test_op4_uses_all_words(spark):
     assert set(got[200].nearest_ids) == {100, 101} and got[200].score > got[0].score
 
 
+def test_toxicity_leaves_no_model_in_the_driver(spark, labels, monkeypatch):
+    left, real = [], common.give_back
+
+    def seen():
+        left.append(sum(isinstance(x, toxicity.ToxicityModel) for x in gc.get_objects()))
+        real()
+
+    monkeypatch.setattr(common, "give_back", seen)
+    toxicity.drop_toxic(docs(spark, ODD), labels)
+    toxicity.score_toxicity(docs(spark, ODD), labels)
+    assert left == [0, 0]
+
+
 def test_op5_records(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     made = warc.derivatives(warc.responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
