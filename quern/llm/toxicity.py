@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is all words of the training examples, as 64-bit hashes; their IDFs come from all documents.
+The vocabulary is all words of the training examples, as 64-bit hashes; their IDFs come from all documents, and words
+that the examples with and without the label differ in weigh more, by :func:`telling`.
 Examples and documents are TF-IDF vectors over it. A block's bound is the sum of the query weights times the
 largest weight each term has in it; blocks are opened by falling bound, in rounds, and those whose bound is
 under the k-th best similarity never. Votes are weighted by similarity and calibrated, by isotonic
@@ -24,6 +25,8 @@ BLOCK = 128
 ROUND = 4
 #: Terms, those of most examples, that are held as a matrix, and queries that are multiplied by it at once.
 COMMON, QUERIES = 192, 64
+#: Deviations from the label's rate that are left to chance: of half a million words a few tens go beyond.
+CHANCE = 4.0
 
 
 def arrays(vector) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +199,30 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([o[0] for o in out]), np.array([(o[1] + 0.02) / (o[2] + 0.2) for o in out])
 
 
+def telling(examples: list[tuple[int, np.ndarray, np.ndarray, int]], n_words: int) -> np.ndarray:
+    """The factor of each word's weight: 1, and more by as much as the word's tie to the label exceeds ``CHANCE``.
+
+    The tie is the root of the likelihood ratio statistic of the label among the examples that have the word: about a
+    standard normal deviate where the word and the label have nothing to do with each other. The few words that mark a
+    label would else count no more than any other rare word of a text.
+    """
+    held, marked = np.zeros(n_words), np.zeros(n_words)
+    for _, at, _, label in examples:
+        held[at] += 1
+        marked[at] += label
+    rate = sum(e[3] for e in examples) / max(len(examples), 1)
+    ratio = np.zeros(n_words)
+    for part, share in ((marked, rate), (held - marked, 1 - rate)):
+        some = part > 0
+        ratio[some] += 2 * part[some] * np.log(part[some] / (held[some] * share))
+    return 1 + np.maximum(np.sqrt(np.maximum(ratio, 0)) - CHANCE, 0)
+
+
 class ToxicityModel:
     def __init__(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]], words: np.ndarray, df: np.ndarray, n: int, k: int):
         """``examples``: (doc_id, places in ``words``, their counts, label) rows; ``words``: sorted hashes, in ``df`` of all ``n`` documents."""
         self.k, self.words = k, words
-        self.idf = np.log((1 + n) / (1 + df)) + 1
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * telling(examples, len(words))
         examples.sort(key=lambda e: e[0])
         plain = [label for _, own, _, label in examples if not len(own)]
         examples = [e for e in examples if len(e[1])]
@@ -221,7 +243,7 @@ class ToxicityModel:
         self.ends, self.values = isotonic(votes, self.y) if len(votes) else (np.array([1.0]), np.array([self.rate]))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of a text."""
+        """The unit TF-IDF vector of a text, telling words weighted up."""
         raw = (1 + np.log(counts)) * self.idf[terms]
         return terms, raw / math.sqrt(float(raw @ raw))
 

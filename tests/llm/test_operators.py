@@ -178,6 +178,15 @@ def test_op4_uses_all_words(spark):
     assert set(got[200].nearest_ids) == {100, 101} and got[200].score > got[0].score
 
 
+def test_op4_finds_a_label_that_one_word_of_many_marks(spark):
+    rng = np.random.default_rng(8)
+    text = lambda marked: " ".join([f"w{x}" for x in rng.integers(0, 3000, 80)] + ["zorgle"] * marked)
+    rows = [(i, text(i % 8 == 0)) for i in range(640)]
+    own = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(480)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, rows), own, folds=1, fold=1).collect()}
+    assert {i for i in range(480, 640) if got[i]} == {i for i in range(480, 640) if i % 8 == 0}
+
+
 def test_toxicity_leaves_no_model_in_the_driver(spark, labels, monkeypatch):
     left, real = [], common.give_back
 
