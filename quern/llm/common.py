@@ -35,6 +35,15 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Let the executors' heaps, which only grow while tasks make garbage, shrink to what they hold.
+
+    Their Python workers need the memory more. Twice as many tasks as slots, so that every executor gets one.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: Rows of an Arrow batch, where the session does not say otherwise: whole texts of so many rows are held at once, several times over.
 BATCH_ROWS = 1000
 

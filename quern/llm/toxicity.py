@@ -401,6 +401,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options))
     common.give_back()
+    common.shrink_executors(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -187,6 +187,24 @@ def test_op4_finds_a_label_that_one_word_of_many_marks(spark):
     assert {i for i in range(480, 640) if got[i]} == {i for i in range(480, 640) if i % 8 == 0}
 
 
+def test_each_pipeline_stage_begins_with_shrunk_heaps(spark, monkeypatch):
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    shrink, called = common.shrink_executors, []
+    monkeypatch.setattr(common, "shrink_executors", lambda s: called.append(s))
+    for _, stage in corpus_pipeline.STAGES:
+        before = len(called)
+        stage(spark, docs(spark, ODD), "/root/testdata/sf0.001")
+        assert len(called) > before
+    before = collections()
+    shrink(spark)
+    assert collections() >= before + spark.sparkContext.defaultParallelism
+
+
 def test_toxicity_leaves_no_model_in_the_driver(spark, labels, monkeypatch):
     left, real = [], common.give_back
 
