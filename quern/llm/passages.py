@@ -30,12 +30,16 @@ _FACTORS = np.random.default_rng(77).integers(0, 2**63, 32, dtype=np.uint64) * U
 SALT_ROWS = 256
 #: Tokens on either side of a pair's windows that are compared as well, and between windows that are compared in one stretch.
 MARGIN, JOINED = 46, 512
+#: Such tokens where only some windows of two documents are compared, as the others can give nothing by themselves.
+WIDE = 192
 #: Leads of a block, and windows that one task streams past it, among members that did not match the first document, about.
 BLOCK, STREAM = 1024, 8192
 #: Windows of a group whose tokens one task counts, about.
 GROUP = 4096
 #: Pairs of equal tokens that are held at once when two stretches are compared, about.
 PAIRS = 1 << 21
+#: Marks tokens with a word in no passage found so far, beside 15 bits of the hash.
+OPEN = 1 << 15
 _NEVER = -(1 << 62)
 
 
@@ -161,6 +165,40 @@ def shortest_seed(least: int, percent: int) -> int:
     return min(-(-max(equal, parted(m)) // m) for m in (range(1, equal + 1) if percent < 100 else (1,)))
 
 
+def best_stretch(match: np.ndarray, less: np.ndarray, least: int, percent: int, open_: np.ndarray | None = None) -> np.ndarray:
+    """Of each row of ``match``, the most that a stretch of ``least`` tokens or more can add to :func:`alike`'s two sides; one below -2**40 if there is none.
+
+    Sets agree by ``percent`` % if (100 + percent) times the equal tokens reach percent times those of both sides. With the
+    equal ones counted on either side, half each, every equal token of a side adds 100 - percent and every other one, by
+    ``less``, takes 2 percent away: a passage's two stretches cannot come to less than 0. Stretches begin and end with equal
+    tokens; those without a token in ``open_``, if that is given, do not count.
+    """
+    n, width = match.shape
+    none = -(1 << 41)
+    if width < least:
+        return np.full(n, none, np.int64)
+    s = np.zeros((n, width + 1), np.int64)
+    np.cumsum(np.where(match, 100 - percent, less), axis=1, out=s[:, 1:])
+    # the most by ends from each place on
+    end = np.full((n, width + 1), none, np.int64)
+    end[:, :-1] = np.where(match, s[:, 1:], none)
+    end = np.maximum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+    if open_ is None:
+        end = end[:, least - 1 : width]
+    else:
+        x = np.arange(width)
+        nearest = np.minimum.accumulate(np.where(open_, x, width)[:, ::-1], axis=1)[:, ::-1]
+        end = np.take_along_axis(end, np.maximum(nearest, np.minimum(x + least - 1, width)), axis=1)[:, : width - least + 1]
+    starts = end.shape[1]
+    return np.where(match[:, :starts], end - s[:, :starts], none).max(axis=1)
+
+
+def unlike_costs(own: np.ndarray, percent: int) -> np.ndarray:
+    """What each of these tokens takes away in :func:`best_stretch` if it is not an equal one: nothing if it is there repeatedly, as sets count it once."""
+    _, at, times = np.unique(own, return_inverse=True, return_counts=True)
+    return np.where(times[at] > 1, 0, -2 * percent)
+
+
 def alike(own: np.ndarray, rep: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, float]]:
     """``(from, to, match_from, similarity)`` stretches of ``least`` tokens or more whose sets agree by ``percent`` % with one of ``rep``.
 
@@ -273,10 +311,10 @@ def _pairs(both: DataFrame, enough: int) -> DataFrame:
     return pairs.where(F.col("hashes") >= enough).drop("hashes") if found else pairs
 
 
-def stretches(places: list[int]) -> list[tuple[int, int]]:
+def stretches(places: list[int], margin: int = MARGIN) -> list[tuple[int, int]]:
     """The places that windows and their margins cover, those near each other as one."""
     out: list[list[int]] = []
-    for lo, hi in sorted(((p >> 20) - (p >> 10 & 1023) - MARGIN, (p >> 20) + (p & 1023) + MARGIN) for p in places):
+    for lo, hi in sorted(((p >> 20) - (p >> 10 & 1023) - margin, (p >> 20) + (p & 1023) + margin) for p in places):
         if out and lo <= out[-1][1] + JOINED:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -284,7 +322,7 @@ def stretches(places: list[int]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _slices(src: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _slices(src: DataFrame, pairs: DataFrame, margin: int) -> tuple[DataFrame, DataFrame]:
     """``rep, doc_id, is_member, at, body``: the stretches of text, from word ``at``, of both documents of each pair; and the stored table it reads.
 
     A document's stretches are cut in tasks of about ``SALT_ROWS`` of them, so none is held for all its partners.
@@ -307,7 +345,7 @@ def _slices(src: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for body, asked in zip(b.column("body").to_pylist(), b.column("asked").to_pylist()):
                 starts, ends = shingle.word_places(body, common.AZ_TABLE)
                 for q in asked:
-                    for a, z in stretches(q["places"]):
+                    for a, z in stretches(q["places"], margin):
                         z = min(z + WIDTH - 1, len(starts))
                         if a < z:
                             for name in ("rep", "doc_id", "is_member"):
@@ -320,9 +358,9 @@ def _slices(src: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.mapInArrow(common.tidy(run), ddl), need
 
 
-def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
+def _verified(src: DataFrame, pairs: DataFrame, least: int, percent: int, margin: int = MARGIN) -> DataFrame:
     """The passages that the documents of ``pairs`` share, stored, as rows of :func:`repeated_passages`."""
-    held, need = _slices(src, pairs)
+    held, need = _slices(src, pairs, margin)
     common.free_shuffles(src.sparkSession)
     key = ("rep", "doc_id")
     held = held.repartition(*key).sortWithinPartitions(*key, "is_member")
@@ -405,48 +443,58 @@ def shared_tokens(rows: list[tuple[int, bool, np.ndarray]]) -> list[tuple[np.nda
     return [(flat[x:y][keep[x:y]], m, n) for x, y, m, n in zip(ends[:-1], ends[1:], a, b)]
 
 
-def _comparable(src: DataFrame, left: DataFrame, few: int) -> DataFrame:
-    """``key, doc_id, place, is_lead, is_member, whole, tokens``, stored: the windows of ``left`` that can have ``few`` tokens in common with another.
+def _comparable(src: DataFrame, left: DataFrame, few: int, found: DataFrame | None = None) -> DataFrame:
+    """``key, doc_id, place, is_lead, is_member, whole, around, tokens``, stored: the windows of ``left`` that can have ``few`` tokens in common with another.
 
     ``tokens`` are those of :func:`shared_tokens`, as 32 bits of their hashes, which can only make more of them seem
-    common; ``whole`` is a hash of all that the window and its margins hold, in order. The tokens of a large group are counted part by part.
+    common; ``whole`` is a hash of all that the window and its margins hold, in order, and ``around`` are these tokens, as 15 bits of their
+    hashes, with ``OPEN`` where a word of one is in no passage of ``found``. The tokens of a large group are counted part by part.
     """
     often = left.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
     often = common.materialise(often, "often")
     dealt = left.join(common.bounded(often), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    need = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead", "parts")).alias("asked")).withColumnRenamed("doc_id", "owner")
-    ddl = "key long, part int, parts int, doc_id long, place long, is_lead boolean, whole long, tokens binary"
+    need = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "is_lead", "parts")).alias("asked"))
+    if found is None:
+        need = need.withColumn("spans", F.expr("CAST(NULL AS array<struct<start: long, n_words: long>>)"))
+    else:
+        need = need.join(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "doc_id", "left")
+    need = need.withColumnRenamed("doc_id", "owner")
+    ddl = "key long, part int, parts int, doc_id long, place long, is_lead boolean, whole long, around binary, tokens binary"
     schema = common.arrow_schema(ddl)
 
     def cut(batches):
         for b in batches:
-            bodies, ids, asked = (b.column(c).to_pylist() for c in ("body", "owner", "asked"))
+            bodies, ids, asked, spans = (b.column(c).to_pylist() for c in ("body", "owner", "asked", "spans"))
             for x, y in shingle.chunks(bodies):
                 tok, splits = shingle.shingle_hashes(*shingle.word_hashes(bodies[x:y], common.AZ_TABLE), WIDTH, short=False)
                 out = {k: [] for k in schema.names}
                 for i, key, own in zip(range(x, y), ids[x:y], asked[x:y]):
                     t = (tok[splits[i - x] : splits[i - x + 1]] >> U(32)).astype(np.uint32)
+                    brief = (t & (OPEN - 1)).astype("<u2") | OPEN
+                    for s in spans[i] or ():  # tokens with all their words in it
+                        brief[s["start"] : max(s["start"] + s["n_words"] - WIDTH + 1, 0)] &= OPEN - 1
                     for q in own:
                         c = q["place"] >> 20
                         a, z = c - (q["place"] >> 10 & 1023), c + (q["place"] & 1023)
-                        mine, around = np.unique(t[a:z]), t[max(a - MARGIN, 0) : z + MARGIN]
-                        whole = int.from_bytes(hashlib.blake2b(around.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        margins = slice(max(a - MARGIN, 0), z + MARGIN)
+                        mine, around = np.unique(t[a:z]), brief[margins].tobytes()
+                        whole = int.from_bytes(hashlib.blake2b(t[margins].tobytes(), digest_size=8).digest(), "little", signed=True)
                         for part in range(q["parts"]):
                             some = mine[mine % q["parts"] == part] if q["parts"] > 1 else mine
-                            row = (q["key"], part, q["parts"], key, q["place"], q["is_lead"], whole, some.tobytes())
+                            row = (q["key"], part, q["parts"], key, q["place"], q["is_lead"], whole, around, some.tobytes())
                             for name, v in zip(schema.names, row):
                                 out[name].append(v)
                 yield common.emit(out, schema)
 
     held = src.withColumnRenamed("doc_id", "owner").join(need, "owner").mapInArrow(common.tidy(cut), ddl)
     held = held.repartition("key", "part").sortWithinPartitions("key", "part")
-    ddl = "key long, part int, parts int, doc_id long, place long, whole long, tokens binary, n_lead int, n_member int"
+    ddl = "key long, part int, parts int, doc_id long, place long, whole long, around binary, tokens binary, n_lead int, n_member int"
     schema_out = common.arrow_schema(ddl)
 
     def counted(group, out):
-        for (key, part, parts, doc, place, _, whole, _), (tokens, n, m) in zip(group, shared_tokens([(r[3], r[5], np.frombuffer(r[7], np.uint32)) for r in group])):
+        for (key, part, parts, doc, place, _, whole, around, _), (tokens, n, m) in zip(group, shared_tokens([(r[3], r[5], np.frombuffer(r[8], np.uint32)) for r in group])):
             if n or m if parts > 1 else max(n, m) >= few:
-                for name, v in zip(schema_out.names, (key, part, parts, doc, place, whole, tokens.tobytes(), n, m)):
+                for name, v in zip(schema_out.names, (key, part, parts, doc, place, whole, around, tokens.tobytes(), n, m)):
                     out[name].append(v)
 
     def run(batches):
@@ -469,25 +517,64 @@ def _comparable(src: DataFrame, left: DataFrame, few: int) -> DataFrame:
     common.discard(often)
     names = ("key", "doc_id", "place")
     sides = lambda n, m: ((F.col(n) >= few).alias("is_lead"), (F.col(m) >= few).alias("is_member"))
-    small = kept.where("parts = 1").select(*names, *sides("n_lead", "n_member"), "whole", "tokens")
-    large = kept.where("parts > 1").groupBy(*names, "whole").agg(F.sum("n_lead").alias("n"), F.sum("n_member").alias("m"), F.collect_list("tokens").alias("t"))
+    small = kept.where("parts = 1").select(*names, *sides("n_lead", "n_member"), "whole", "around", "tokens")
+    large = kept.where("parts > 1").groupBy(*names, "whole", "around").agg(F.sum("n_lead").alias("n"), F.sum("n_member").alias("m"), F.collect_list("tokens").alias("t"))
     joined = F.aggregate("t", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    large = large.where(F.greatest("n", "m") >= few).select(*names, *sides("n", "m"), "whole", joined.alias("tokens"))
+    large = large.where(F.greatest("n", "m") >= few).select(*names, *sides("n", "m"), "whole", "around", joined.alias("tokens"))
     out = common.materialise(small.union(large), "windows")
     common.discard(kept)
     return out
 
 
-def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFrame:
+class Block:
+    """Leads ``(doc_id, place, tokens, around)`` of a block, past which the windows of their group stream."""
+
+    def __init__(self, leads: list[tuple[int, int, np.ndarray, np.ndarray]], least: int, percent: int):
+        self.few, self.least, self.percent = -(-least // 2), least, percent
+        flat = np.concatenate([t for _, _, t, _ in leads])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(leads)), [len(t) for _, _, t, _ in leads])[order]
+        self.ids = np.array([k for k, *_ in leads], np.int64)
+        shape = len(leads), max(len(a) for *_, a in leads)
+        # beyond a window's end is a token that none has
+        self.around, self.open, self.less = np.full(shape, OPEN, np.int64), np.zeros(shape, bool), np.zeros(shape, np.int64)
+        self.has, self.mark = np.zeros((len(leads), OPEN), bool), np.zeros(OPEN + 1, bool)
+        for i, (*_, a) in enumerate(leads):
+            own = a & (OPEN - 1)
+            self.around[i, : len(a)], self.open[i, : len(a)], self.less[i, : len(a)] = own, a >= OPEN, unlike_costs(own, percent)
+            self.has[i, own] = True
+
+    def met(self, key: int, tokens: np.ndarray, around: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the later documents' leads, less those ``known``, that have enough tokens in common with this window; and which of them can have a passage in common with it that is not all found yet."""
+        lo = np.searchsorted(self.flat, tokens, "left")
+        n = np.searchsorted(self.flat, tokens, "right") - lo
+        same = np.bincount(self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(self.ids))
+        enough = (same >= self.few) & (self.ids > key)
+        at = np.flatnonzero(enough if known is None else enough & ~known)
+        if not len(at):
+            return at, np.zeros(0, bool)
+        own = around & (OPEN - 1)
+        self.mark[own] = True
+        most = best_stretch(self.mark[self.around[at]], self.less[at], self.least, self.percent, self.open[at])
+        self.mark[own] = False
+        fit = most + (100 - self.percent) * len(own) >= 0
+        some = np.flatnonzero(fit)
+        if len(some):
+            less = np.broadcast_to(unlike_costs(own, self.percent), (len(some), len(own)))
+            fit[some] = most[some] + best_stretch(self.has[at[some][:, None], own], less, self.least, self.percent) >= 0
+        return at, fit
+
+
+def _further(src: DataFrame, left: DataFrame, found: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
     """The pairs, stored, of each lead of ``left`` with the earlier documents of its groups whose windows have tokens in common.
 
     Leads are dealt out in blocks, and all windows of the group stream past each, so every lead meets all of them.
     A passage agrees with another in seven tenths or more of the tokens of some window; pairs of windows with less
     than half of ``least`` in common are left out, and windows that cannot have as many with another are before they
-    are dealt. Of windows whose text is the same, margins and all, a lead takes the first.
+    are dealt. Of windows whose text is the same, margins and all, a lead takes the first. Pairs of windows in which, margins
+    and all, no stretches that are alike enough hold a word that is in no passage yet (:func:`best_stretch`) are left out too.
     """
-    few = -(-least // 2)
-    own = _comparable(src, left, few)
+    own = _comparable(src, left, -(-least // 2), found)
     common.free_shuffles(src.sparkSession)
     per = own.groupBy("key").agg(F.ceil(F.count_if("is_lead") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("is_member") / STREAM).cast("int").alias("salts"))
     per = common.materialise(per.where("blocks > 0 and salts > 0"), "per")
@@ -497,36 +584,31 @@ def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFr
     names = ("key", "block", "salt")
     lead = at.where("is_lead").withColumn("block", deal("blocks")).withColumn("salt", cells("salts"))
     past = at.where("is_member").withColumn("salt", deal("salts")).withColumn("block", cells("blocks"))
-    side = lambda df, member: df.select(*names, F.lit(member).alias("is_member"), "doc_id", "place", "whole", "tokens")
+    side = lambda df, member: df.select(*names, F.lit(member).alias("is_member"), "doc_id", "place", "whole", "around", "tokens")
     held = side(lead, False).union(side(past, True)).repartition(*names).sortWithinPartitions(*names, "is_member", "doc_id")
     ddl = "key long, doc_id long, rep long, place long, at array<long>"
     schema_out = common.arrow_schema(ddl)
 
     def meet(batches):
-        where, leads, flat, met = None, [], None, set()
+        where, leads, block, met = None, [], None, {}
         for b in batches:
             out = {k: [] for k in schema_out.names}
-            for *cell, is_member, key, place, whole, raw in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "place", "whole", "tokens"))):
+            for *cell, is_member, key, place, whole, around, raw in zip(*(b.column(c).to_pylist() for c in (*names, "is_member", "doc_id", "place", "whole", "around", "tokens"))):
                 if where != cell:
-                    where, leads, flat, met = cell, [], None, set()
+                    where, leads, block, met = cell, [], None, {}
+                around, t = np.frombuffer(around, "<u2"), np.frombuffer(raw, np.uint32)
                 if not is_member:
-                    leads.append((key, place, np.frombuffer(raw, np.uint32)))
+                    leads.append((key, place, t, around))
                     continue
                 if not leads or key >= leads[-1][0]:
                     continue
-                if flat is None:
-                    flat = np.concatenate([t for _, _, t in leads])
-                    order = np.argsort(flat, kind="stable")
-                    flat, owner = flat[order], np.repeat(np.arange(len(leads)), [len(t) for _, _, t in leads])[order]
-                t = np.frombuffer(raw, np.uint32)
-                lo = np.searchsorted(flat, t, "left")
-                n = np.searchsorted(flat, t, "right") - lo
-                same = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(leads))
-                for i in np.flatnonzero(same >= few).tolist():
-                    if key < leads[i][0] and (i, whole) not in met:
-                        met.add((i, whole))
-                        for name, v in zip(schema_out.names, (cell[0], leads[i][0], key, leads[i][1], [place])):
-                            out[name].append(v)
+                block = block or Block(leads, least, percent)
+                at, fit = block.met(key, t, around, met.get(whole))
+                if len(at):
+                    met.setdefault(whole, np.zeros(len(leads), bool))[at] = True
+                for i in at[fit].tolist():
+                    for name, v in zip(schema_out.names, (cell[0], leads[i][0], key, leads[i][1], [place])):
+                        out[name].append(v)
             yield common.emit(out, schema_out)
 
     pairs = common.materialise(_pairs(held.mapInArrow(common.tidy(meet), ddl), enough), "aligned")
@@ -534,11 +616,22 @@ def _further(src: DataFrame, left: DataFrame, least: int, enough: int) -> DataFr
     return pairs
 
 
+def _adding(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``more`` with a word that is in no passage of ``found``."""
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words")).alias("end")))).alias("spans"))
+    end = F.col("start") + F.col("n_words")
+    # how far the found passages reach without a gap from the row's start on
+    reach = F.aggregate("spans", F.col("start"), lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at))
+    return more.join(spans, "doc_id", "left").where(F.coalesce(reach, F.col("start")) < end).select(*more.columns)
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, functions: int = FUNCTIONS, enough: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_words, match_doc_id, match_start, similarity``: passages of ``words`` words or more that an earlier document has.
 
     ``similarity`` (at least ``percent`` %) is the Jaccard of the two stretches' shingle sets, which words inserted
     or deleted may have made of different length; ``match_doc_id`` is the representative, with the smaller id.
+    Every such place is in a row, but not with every earlier document: a document's passages are those that it has in common
+    with the first documents of its windows' groups, and those with other earlier ones that hold a word which none of these hold.
     Documents without such passages, null and empty texts and rows without an id give no rows; rows that repeat an
     id are one document.
     """
@@ -564,12 +657,12 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, funct
     common.free_shuffles(spark)
     if left.isEmpty():
         return found
-    pairs = _further(src, left, least, enough)
+    pairs = _further(src, left, found, least, percent, enough)
     common.discard(left)
     common.free_shuffles(spark)
     if pairs.isEmpty():
         return found
-    return found.union(_verified(src, pairs, least, percent)).distinct()
+    return found.union(_adding(_verified(src, pairs, least, percent, WIDE), found))
 
 
 def cut_passages(docs: DataFrame, words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

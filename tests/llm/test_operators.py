@@ -434,6 +434,50 @@ def test_op7_common_lines_are_not_compared(spark):
     assert got == {(101, 60, 65, 100, 60, 1.0)}
 
 
+def test_op7_pairs_that_can_give_no_passage_are_not_made(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line, p = new(40), new(100)
+    # twenty share a line, of 36 of the 46 tokens that a passage has at least; two share a passage
+    rows = [(k, " ".join(new(60) + line + new(60))) for k in range(20)]
+    rows += [(100 + k, " ".join(p + new(50))) for k in range(2)]
+    stored, counts = common.materialise, defaultdict(list)
+
+    def materialise(df, name, *options):
+        made = stored(df, name, *options)
+        counts[name].append(made.count())
+        return made
+
+    monkeypatch.setattr(common, "materialise", materialise)
+    got = {tuple(r) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(101, 0, 100, 100, 0, 1.0)}
+    assert counts["unlinked"][0] and counts["aligned"][1:] == [0]
+
+
+def test_op7_best_stretch_allows_every_passage():
+    rng = np.random.default_rng(32)
+    met = 0
+    for k in range(300):
+        rep = rng.integers(0, 120 if rng.random() < 0.3 else 2**40, int(rng.integers(46, 160))).astype(np.uint64)
+        own = rep[int(rng.integers(0, 40)) :].copy()
+        own[rng.random(len(own)) < rng.choice((0.02, 0.08, 0.15, 0.3))] += np.uint64(7)
+        own = np.concatenate((rng.integers(0, 2**40, int(rng.integers(0, 30))).astype(np.uint64), own[: len(own) // 2], own[len(own) // 2 + int(rng.integers(0, 3)) :]))
+        for percent in (80, 95):
+            open_ = rng.random(len(own)) < 0.03
+            side = lambda x, y, **o: passages.best_stretch(np.isin(x, y)[None], passages.unlike_costs(x, percent)[None], 46, percent, **o)[0]  # noqa: E731, B023
+            for x, y, _, _ in (found := passages.alike(own, rep, 46, percent)):
+                assert not open_[x:y].any() or side(own, rep, open_=open_[None]) + side(rep, own) >= 0
+            assert not found or side(own, rep) + side(rep, own) >= 0
+            met += len(found)
+            # against all stretches
+            value = np.where(np.isin(own, rep), 100 - percent, passages.unlike_costs(own, percent))
+            match = np.isin(own, rep)
+            every = [int(value[x:y].sum()) for x in range(len(own)) for y in range(x + 46, len(own) + 1) if match[x] and match[y - 1] and open_[x:y].any()] if k < 10 else None
+            none = -(1 << 40)
+            assert every is None or max(every, default=none) == max(side(own, rep, open_=open_[None]), none)
+    assert met > 100
+
+
 def test_op7_shared_tokens_against_all_pairs():
     rng = np.random.default_rng(30)
     rows = [(int(rng.integers(0, 12)), bool(rng.integers(0, 2)), np.unique(rng.integers(0, 60, 12).astype(np.uint32))) for _ in range(40)]
