@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quern.functions import names
 from quern.operators.geometry import condensed
 from quern.operators.points import without_names
-from quern.operators.traverse import closure, one_task
+from quern.operators.pieces import wide_closure
+from quern.operators.traverse import one_task
 from quern.plans.graph import Graph
 from quern.session import materialise
 
@@ -173,7 +174,7 @@ def chokepoints(graph: Graph, sources: str = "exported-theorems", sinks: str | N
     v = v.select(F.lit("v").alias("tag"), F.col("scc").alias("a"), F.coalesce("s", "t", F.lit(0)).cast("long").alias("b"), F.when(F.col("line").isNull(), 1.0).otherwise(1.0 / (F.col("line") + 1)).alias("cap"))
     both = v.union(dag.select(F.lit("e"), "src", "dst", F.lit(0.0)))
     found = materialise(one_task(both, _kernel, "scc long, cut boolean, articulation boolean").join(first.select("scc", "node"), "scc"), "choke")
-    count = lambda reverse, c: closure(graph.edges, found.select(F.col("node").alias("seed")), reverse).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias(c))
+    count = lambda reverse, c: wide_closure(graph.edges, found.select(F.col("node").alias("seed")), reverse).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias(c))
     out = found.join(count(True, "upstream"), "node", "left").join(count(False, "downstream"), "node", "left").fillna(0, ["upstream", "downstream"])
     score = F.when(F.col("cut"), F.col("upstream") * F.col("downstream") * F.when(F.col("articulation"), 1.5).otherwise(1.0)).otherwise(0.0)
     kept = without_names(graph.nodes, exclude_names).select(F.col("def_id").alias("node"))

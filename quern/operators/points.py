@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import names
 from quern.operators import similarity, traverse
+from quern.operators.pieces import wide_closure
 from quern.plans.graph import KINDS, Graph
 from quern.session import materialise
 
@@ -246,7 +247,7 @@ def transitive_escapes(graph: Graph) -> DataFrame:
     The ancestors of the few escaped nodes are walked, not every node's closure.
     """
     marked = graph.nodes.where((F.size("unsafe") > 0) | (F.col("unsolved") > 0)).select(F.col("def_id").alias("seed"), (F.size("unsafe") > 0).alias("u"), (F.col("unsolved") > 0).alias("m"))
-    up = traverse.closure(graph.edges, marked.select("seed"), reverse=True).join(marked, "seed")
+    up = wide_closure(graph.edges, marked.select("seed"), reverse=True).join(marked, "seed")
     n = up.groupBy(F.col("node").alias("def_id")).agg(F.count_if("u").alias("unsafe_below"), F.count_if("m").alias("unsolved_below"))
     return graph.nodes.select("def_id").join(n, "def_id", "left").fillna(0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import names
-from quern.operators.traverse import closure
+from quern.operators.pieces import wide_closure
 from quern.plans.graph import Graph
 from quern.session import materialise
 
@@ -40,7 +40,7 @@ def footprints(graph: Graph, source: str = "postulate", theorem_prefixes: tuple[
     """
     axioms = axiom_sets(graph, source, axiom_prefixes, externals)
     theorems = graph.nodes.where((F.col("access") == "public") & (F.col("kind") != "other") & in_scope(graph, theorem_prefixes, externals)).select("def_id")
-    up = closure(graph.edges, axioms.select(F.col("def_id").alias("seed")), reverse=True).select(F.col("node").alias("def_id"), F.col("seed").alias("axiom"))
+    up = wide_closure(graph.edges, axioms.select(F.col("def_id").alias("seed")), reverse=True).select(F.col("node").alias("def_id"), F.col("seed").alias("axiom"))
     up = up.join(axioms.withColumnRenamed("def_id", "axiom"), "axiom").select("def_id", "axiom", "foundational")
     return materialise(theorems.join(up, "def_id", "left"), "footprints")
 
@@ -74,7 +74,7 @@ def debt_coverage(graph: Graph, postulates: bool = True, foundational: bool = Fa
     if postulates:
         kept = kept | ((F.col("state") == "P") & (F.lit(foundational) | ~names.is_foundational(F.col("module"))))
     holes = graph.nodes.where(kept)
-    up = closure(graph.edges, holes.select(F.col("def_id").alias("seed")), reverse=True)
+    up = wide_closure(graph.edges, holes.select(F.col("def_id").alias("seed")), reverse=True)
     return materialise(up.join(exported(graph), "node", "left_semi").select(F.col("seed").alias("hole"), F.col("node").alias("def_id")), "coverage")
 
 
@@ -112,7 +112,7 @@ def debt_schedule(graph: Graph, coverage: DataFrame, steps: int | None = None) -
 def prerequisites(graph: Graph, coverage: DataFrame) -> DataFrame:
     """``hole, needs, shared``: holes that use other holes, with the number of dependents both block."""
     holes = coverage.select("hole").distinct()
-    down = closure(graph.edges, holes.select(F.col("hole").alias("seed"))).join(holes.withColumnRenamed("hole", "node"), "node", "left_semi")
+    down = wide_closure(graph.edges, holes.select(F.col("hole").alias("seed"))).join(holes.withColumnRenamed("hole", "node"), "node", "left_semi")
     both = coverage.toDF("ha", "def_id").join(coverage.toDF("hb", "def_id"), "def_id")
     pairs = down.select(F.col("seed").alias("ha"), F.col("node").alias("hb"))
     shared = pairs.join(both, ["ha", "hb"], "left").groupBy("ha", "hb").agg(F.count("def_id").alias("shared"))
