@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import names
-from quern.operators.pieces import wide_closure
+from quern.operators.pieces import by_piece, deal, wide_closure
+from quern.operators.traverse import KERNEL_EDGES
 from quern.plans.graph import Graph
+from quern.plans.numbering import numbered, running
 from quern.session import materialise
 
 
@@ -78,18 +80,48 @@ def debt_coverage(graph: Graph, postulates: bool = True, foundational: bool = Fa
     return materialise(up.join(exported(graph), "node", "left_semi").select(F.col("seed").alias("hole"), F.col("node").alias("def_id")), "coverage")
 
 
-def debt_schedule(graph: Graph, coverage: DataFrame, steps: int | None = None) -> DataFrame:
-    """``step, hole, coverage, gain, cum_pct``: greedy maximum coverage, ties to the lowest hole, until nothing is gained.
+def greedy(holes, defs) -> list[tuple[int, int, int]]:
+    """(hole, coverage, gain) of greedy maximum coverage of the pairs, ties to the lowest hole, until nothing is gained.
 
-    ``cum_pct`` is the share of all exported definitions. Gains only fall, so a hole's last known gain bounds it:
-    each round counts anew the holes of largest bounds only, 64 at a time, against what is left.
+    Gains only fall, so a hole's last known gain bounds it.
     """
-    total = exported(graph).count()
-    left = coverage.select("hole", "def_id").distinct()
+    import heapq
+
+    import numpy as np
+
+    order = np.lexsort((defs, holes))
+    _, at = np.unique(defs[order], return_inverse=True)
+    ids, starts = np.unique(holes[order], return_index=True)
+    sets = np.split(at, starts[1:])
+    covered = np.zeros(len(at), bool)
+    heap = [(-len(s), int(h), i) for i, (h, s) in enumerate(zip(ids, sets))]
+    heapq.heapify(heap)
+    rows = []
+    while heap:
+        bound, hole, i = heapq.heappop(heap)
+        gain = int((~covered[sets[i]]).sum())
+        if not gain:
+            continue
+        if gain < -bound:
+            heapq.heappush(heap, (-gain, hole, i))
+            continue
+        covered[sets[i]] = True
+        rows.append((hole, len(sets[i]), gain))
+    return rows
+
+
+def _greedy_kernel(table):
+    import pandas as pd
+
+    yield pd.DataFrame(greedy(table["hole"].to_numpy(), table["def_id"].to_numpy()), columns=["hole", "coverage", "gain"]).astype("int64")
+
+
+def _greedy_by_joins(left: DataFrame) -> DataFrame:
+    """As :func:`greedy`, ``hole, coverage, gain``: each round counts anew the holes of largest bounds only, 64 at a time, against what is left."""
     # one row a hole on the driver: definitions that are open or assumed
     size = {r.hole: r.n for r in left.groupBy("hole").agg(F.count("*").alias("n")).collect()}
-    bound, rows, covered = dict(size), [], 0
-    while bound and (steps is None or len(rows) < steps):
+    bound, rows = dict(size), []
+    while bound:
         known: dict[int, int] = {}
         best = None
         while True:
@@ -102,11 +134,31 @@ def debt_schedule(graph: Graph, coverage: DataFrame, steps: int | None = None) -
             best = min(known, key=lambda h: (-known[h], h))
         if best is None or not known[best]:
             break
-        covered += known[best]
-        rows.append((len(rows) + 1, best, size[best], known[best], 100.0 * covered / total))
+        rows.append((best, size[best], known[best]))
         del bound[best]
         left = materialise(left.join(left.where(F.col("hole") == best).select("def_id"), "def_id", "left_anti").select("hole", "def_id"), "coverage")
-    return coverage.sparkSession.createDataFrame(rows, "step int, hole long, coverage long, gain long, cum_pct double")
+    return left.sparkSession.createDataFrame(rows, "hole long, coverage long, gain long")
+
+
+def debt_schedule(graph: Graph, coverage: DataFrame, steps: int | None = None, limit: int = KERNEL_EDGES) -> DataFrame:
+    """``step, hole, coverage, gain, cum_pct``: greedy maximum coverage, ties to the lowest hole, until nothing is gained.
+
+    ``cum_pct`` is the share of all exported definitions. Holes of different weak components share no dependents, and
+    within one the steps fall in gain and, of equal gains, rise in hole: so the schedule is that of all components, sorted.
+    Components of more than ``limit`` edges are scheduled by joins.
+    """
+    total = exported(graph).count()
+    d = deal(graph.edges, limit)
+    left = coverage.select("hole", "def_id").distinct()
+    own = left.join(d.at.toDF("hole", "piece").hint("merge"), "hole").select("piece", "hole", "def_id")
+    rows = by_piece(own, _greedy_kernel, "hole long, coverage long, gain long", d.tasks)
+    if d.giant is not None:
+        far = d.giant.select(F.col("src").alias("hole")).union(d.giant.select("dst")).distinct()
+        rows = rows.union(_greedy_by_joins(materialise(left.join(far, "hole", "left_semi"), "coverage")))
+    order = [F.desc("gain"), F.col("hole")]
+    out = running(numbered(materialise(rows, "schedule"), *order, name="step", start=1), "gain", *order, name="covered")
+    out = out.select(F.col("step").cast("int").alias("step"), "hole", "coverage", "gain", (100.0 * F.col("covered") / total).alias("cum_pct"))
+    return out if steps is None else out.where(F.col("step") <= steps)
 
 
 def prerequisites(graph: Graph, coverage: DataFrame) -> DataFrame:
