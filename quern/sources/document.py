@@ -1,5 +1,8 @@
 """The graph document: one JSON object of definitions, edges and what belongs to modules, read into tables and written from them.
 
+A large document is several such objects, one a line: pieces, whose lists are joined in the order of ``part``, from 0;
+what is no list stands in the first. No task holds more than a few pieces.
+
 The schema is explicit and versioned. A document that cannot be read raises :class:`DocumentError`, whose
 message says what to do; optional parts that are missing stay missing, none is made up.
 """
@@ -10,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from functools import cache
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +28,7 @@ _ARGS = f"struct<removable: array<int>, removableRequires: map<string, array<int
 _DEFINITION = f"struct<id: bigint, name: string, module: string, state: string, kind: string, line: int, access: string, type: string, unsafe: array<string>, unsolvedMetas: int, argUsage: {_ARGS}, x: double, y: double>"
 #: Field order is that of the written document. Subterm hashes are unsigned 64-bit numbers.
 DDL = (
-    f"v int, schemaVersion int, mode string, definitions array<{_DEFINITION}>, definitionEdges array<array<string>>, modules array<string>, entryModule string, externalModules array<string>, "
+    f"v int, schemaVersion int, mode string, part int, definitions array<{_DEFINITION}>, definitionEdges array<array<string>>, modules array<string>, entryModule string, externalModules array<string>, "
     "failedModules array<string>, moduleFiles map<string, string>, producer string, nodeKeyVersion int, "
     "reexports array<struct<`from`: string, `to`: string, names: array<string>, renames: map<string, string>>>, "
     "externals_summary struct<modules: array<string>, postulates_by_module: map<string, array<string>>>, "
@@ -34,6 +37,9 @@ DDL = (
 )
 REQUIRED = ("definitions", "definitionEdges", "moduleFiles", "modules")
 ACCESS = ("public", "private")
+#: Entries of a list in one piece.
+PIECE = 10_000
+ARRAYS = ("definitions", "definitionEdges", "definitionEdgesProvenance", "definitionSubtermHashes", "definitionSubtermDepths", "modules", "externalModules", "failedModules", "reexports")
 
 
 @cache
@@ -102,29 +108,41 @@ def _read(spark: SparkSession, path: str) -> Document:
     first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
     _check(first is not None, "empty file; expected the expanded form of version 2")
     _check(first[0] == "{", f"not JSON (starts with {first[0]!r}); expected the expanded form of version 2")
-    parse = lambda kind: spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    head = parse(T._parse_datatype_string("v int, mode string")).first()
+    pieces = not spark.read.text(path).where(F.substring("value", 1, 100).rlike(r'^\{"v":\d+,"schemaVersion":\d+,"mode":"\w+","part":\d+,')).isEmpty()
+    parse = lambda kind: spark.read.schema(kind).option("multiLine", not pieces).option("mode", "FAILFAST").json(path)
+    heads = parse(T._parse_datatype_string("v int, mode string, part int"))
+    head = heads.orderBy("part").first()
     _check(head.v == VERSION, f"expected schema v: {VERSION}, got: {head.v or 0}")
     _check(head["mode"] == "expanded", f"this document is in {head['mode'] or 'packed'} form, which lacks kinds, lines, access, signatures and subterm hashes; write the expanded form")
-    one = materialise(parse(schema()), "document")
-    size = lambda c: F.coalesce(F.size(c), F.lit(-1)).alias(c)
-    arrays = ("definitions", "definitionEdges", "definitionEdgesProvenance", "definitionSubtermHashes", "definitionSubtermDepths")
+    # pieces are read as often as their lists are needed, a few lines a task
+    one = parse(schema()) if pieces else materialise(parse(schema()), "document")
+    one = one.withColumn("part", F.coalesce("part", F.lit(0)))
+    size = lambda c: F.coalesce(F.size(c), F.lit(-1))
     uneven = F.coalesce(F.exists(F.arrays_zip("definitionSubtermHashes", "definitionSubtermDepths"), lambda z: F.size(z["definitionSubtermHashes"]) != F.size(z["definitionSubtermDepths"])), F.lit(False))
-    m = one.select(*map(size, arrays), uneven.alias("uneven"), *(F.col(c).isNull().alias(f"no_{c}") for c in REQUIRED), "entryModule", "producer", "nodeKeyVersion", "externals_summary").first()
+    # lists of every piece: one row a piece
+    sizes = materialise(one.select("part", *(size(c).alias(c) for c in ARRAYS), uneven.alias("uneven"), *(F.col(c).isNull().alias(f"no_{c}") for c in REQUIRED)), "sizes")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialise(sizes.select("part", *(F.coalesce(F.sum(F.greatest(c, F.lit(0))).over(upto), F.lit(0)).alias(f"first_{c}") for c in ARRAYS)), "first")
+    one = one.join(F.broadcast(first), "part")
+    total = [F.when(F.max(c) < 0, -1).otherwise(F.sum(F.greatest(c, F.lit(0)))).alias(c) for c in ARRAYS]
+    m = sizes.agg(*total, F.bool_or("uneven").alias("uneven"), F.count("*").alias("pieces"), F.count_distinct("part").alias("parts"), F.max("part").alias("last"), *(F.bool_and(f"no_{c}").alias(f"no_{c}") for c in REQUIRED)).first()
+    _check(m.pieces == m.parts == m["last"] + 1, f"{m['last'] + 1} pieces expected, {m.parts} of {m.pieces} found")
+    told = one.where("part = 0").select("entryModule", "producer", "nodeKeyVersion", "externals_summary").first()
     for c in REQUIRED:
         _check(not m[f"no_{c}"], f"key {c!r} is missing")
     for c, of in (("definitionEdgesProvenance", "definitionEdges"), ("definitionSubtermHashes", "definitions"), ("definitionSubtermDepths", "definitions")):
         _check(m[c] <= 0 or m[c] == m[of], f"{c} length ({m[c]}) does not match {of} ({m[of]})")
     _check(not (m.definitionSubtermHashes > 0 and m.definitionSubtermDepths > 0 and m.uneven), "definitionSubtermDepths inner-array lengths do not match definitionSubtermHashes")
 
-    d = one.select(F.posexplode("definitions").alias("ord", "d")).select(
+    placed = lambda c, name, *more: one.select(F.posexplode(c).alias("at", name), f"first_{c}", "part", *more).withColumn("ord", F.col("at") + F.col(f"first_{c}"))
+    d = placed("definitions", "d").select(
         "ord", "d.name", "d.module", F.coalesce("d.state", F.lit("D")).alias("state"), F.coalesce("d.kind", F.lit("other")).alias("kind"), F.coalesce("d.access", F.lit("public")).alias("access"),
         "d.line", "d.type", F.coalesce("d.unsafe", F.array().cast("array<string>")).alias("unsafe"), F.coalesce("d.unsolvedMetas", F.lit(0)).alias("unsolved"),
         F.col("d.argUsage").alias("arg_usage"), F.coalesce("d.x", F.lit(0.0)).alias("x"), F.coalesce("d.y", F.lit(0.0)).alias("y"),
     )
     d = materialise(d.withColumn("ord", F.col("ord").cast("long")), "definitions")
-    e = one.select(F.posexplode("definitionEdges").alias("ord", "e"), "definitionEdgesProvenance")
-    tag = F.get("definitionEdgesProvenance", F.col("ord")) if m.definitionEdgesProvenance > 0 else F.lit(None).cast("string")
+    e = placed("definitionEdges", "e", "definitionEdgesProvenance")
+    tag = F.get("definitionEdgesProvenance", F.col("at")) if m.definitionEdgesProvenance > 0 else F.lit(None).cast("string")
     e = materialise(e.select(F.col("ord").cast("long").alias("ord"), F.get("e", F.lit(0)).alias("src"), F.get("e", F.lit(1)).alias("dst"), F.size("e").alias("n"), tag.alias("prov")), "edges")
     _check(e.where("n <> 2 or src is null or dst is null").isEmpty(), "an edge is not a pair of names")
     _check(d.where("name is null or module is null").isEmpty(), "a definition lacks its name or module")
@@ -132,19 +150,19 @@ def _read(spark: SparkSession, path: str) -> Document:
         bad = df.where(F.col(c).isNotNull() & ~F.col(c).isin(*known)).select(c).first()
         _check(bad is None, f"unknown {c}: {bad and bad[0]}")
     if m.definitionSubtermHashes > 0:
-        s = one.select(F.posexplode("definitionSubtermHashes").alias("ord", "h"), "definitionSubtermDepths")
-        s = s.select(F.col("ord").cast("long").alias("ord"), F.posexplode("h").alias("pos", "hash"), F.get("definitionSubtermDepths", F.col("ord")).alias("ds"))
+        s = placed("definitionSubtermHashes", "h", "definitionSubtermDepths")
+        s = s.select(F.col("ord").cast("long").alias("ord"), F.posexplode("h").alias("pos", "hash"), F.get("definitionSubtermDepths", F.col("at")).alias("ds"))
         s = s.select("ord", F.col("pos").cast("long").alias("pos"), "hash", F.coalesce(F.get("ds", F.col("pos")), F.lit(1)).alias("depth"))
     else:
         s = spark.createDataFrame([], "ord long, pos long, hash decimal(20,0), depth int")
-    role = lambda c, r: one.select(F.posexplode(F.coalesce(c, F.array().cast("array<string>"))).alias("ord", "module"), F.lit(r).alias("role"))
+    role = lambda c, r: placed(c, "module").select(F.col("ord").cast("int").alias("ord"), "module", F.lit(r).alias("role"))
     modules = role("modules", "own").union(role("externalModules", "external")).union(role("failedModules", "failed"))
     option = lambda c, k: one.select(F.explode(c).alias("module", "flags")).select("module", F.lit(k).alias("kind"), "flags")
-    rx = one.select(F.posexplode("reexports").alias("ord", "r")).select("ord", "r.from", "r.to", "r.names", "r.renames")
+    rx = placed("reexports", "r").select(F.col("ord").cast("int").alias("ord"), "r.from", "r.to", "r.names", "r.renames")
     unsolved = one.select(F.explode("unsolvedModules").alias("module", "u")).select("module", "u.metas", "u.constraints")
-    ext = m.externals_summary
+    ext = told.externals_summary
     meta = {
-        "entry_module": m.entryModule, "producer": m.producer, "node_key_version": m.nodeKeyVersion or 1, "has_provenance": m.definitionEdgesProvenance > 0,
+        "entry_module": told.entryModule, "producer": told.producer, "node_key_version": told.nodeKeyVersion or 1, "has_provenance": m.definitionEdgesProvenance > 0,
         "has_hashes": m.definitionSubtermHashes > 0, "has_depths": m.definitionSubtermDepths > 0,
         "externals": ext and list(ext.modules or ()), "postulates_by_module": ext and dict(ext.postulates_by_module or {}),
     }
@@ -154,15 +172,16 @@ def _read(spark: SparkSession, path: str) -> Document:
     )
 
 
-def encode_document(doc: Document) -> DataFrame:
+def encode_document(doc: Document, piece: int | None = None) -> DataFrame:
     """``value``: the document as one JSON object, without empty optional parts; write it with ``.write.text``.
 
-    One object is one row: what a single document can hold bounds it. Larger graphs are kept as tables.
+    Lists of more than ``piece`` entries (:data:`PIECE`) are dealt over several objects, a row each.
     """
-    spark = doc.spark
+    spark, piece = doc.spark, PIECE if piece is None else piece
     by_place = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
-    whole = lambda df, item, order="ord": F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x"))), by_place)
-    listed = lambda df, item, order="ord": df.agg(F.transform(whole(df, item, order), lambda z: z["x"]).alias("a"))
+    whole = lambda item, order: F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x"))), by_place)
+    part = lambda order: F.floor(F.col(order) / piece).cast("int").alias("part")
+    listed = lambda df, item, order="ord": df.groupBy(part(order)).agg(F.transform(whole(item, order), lambda z: z["x"]).alias("a"))
     d = doc.definitions
     some = lambda c, cond: F.when(cond, F.col(c))
     item = F.struct(
@@ -172,8 +191,9 @@ def encode_document(doc: Document) -> DataFrame:
     parts = {"definitions": listed(d, item), "definitionEdges": listed(doc.edges, F.array("src", "dst"))}
     if doc.meta.get("has_provenance"):
         parts["definitionEdgesProvenance"] = listed(doc.edges, F.coalesce("prov", F.lit("unknown")))
-    per = doc.subterms.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "depth"))).alias("s"))
-    per = d.select("ord").join(per, "ord", "left").withColumn("s", F.coalesce("s", F.array().cast(per.schema["s"].dataType)))
+    if doc.meta.get("has_hashes") or doc.meta.get("has_depths"):
+        per = doc.subterms.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "depth"))).alias("s"))
+        per = d.select("ord").join(per, "ord", "left").withColumn("s", F.coalesce("s", F.array().cast(per.schema["s"].dataType)))
     if doc.meta.get("has_hashes"):
         parts["definitionSubtermHashes"] = listed(per, F.transform("s", lambda z: z["hash"]))
     if doc.meta.get("has_depths"):
@@ -181,7 +201,9 @@ def encode_document(doc: Document) -> DataFrame:
     for c, r in (("modules", "own"), ("externalModules", "external"), ("failedModules", "failed")):
         parts[c] = listed(doc.modules.where(F.col("role") == r), F.col("module"))
     parts["reexports"] = listed(doc.reexports, F.struct("from", "to", "names", "renames"))
-    as_map = lambda df, v: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", v.alias("v"))))).alias("a"))
+    # what belongs to modules is dealt by their names over as many pieces as it needs
+    dealt = lambda df: F.pmod(F.xxhash64("module"), F.lit(df.count() // piece + 1)).cast("int").alias("part")
+    as_map = lambda df, v: df.groupBy(dealt(df)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", v.alias("v"))))).alias("a"))
     parts["moduleFiles"] = as_map(doc.files, F.col("path"))
     for c, df, v in (
         ("moduleOptionEscapes", doc.options.where("kind = 'escape'"), F.col("flags")), ("moduleEffectiveOptions", doc.options.where("kind = 'effective'"), F.col("flags")),
@@ -192,16 +214,24 @@ def encode_document(doc: Document) -> DataFrame:
     ext = doc.meta.get("externals")
     summary = T._parse_datatype_string("modules array<string>, postulates_by_module map<string, array<string>>")
     scalars = spark.createDataFrame(
-        [(VERSION, VERSION, "expanded", doc.meta.get("entry_module"), doc.meta.get("producer"), doc.meta.get("node_key_version") or 1, None if ext is None else (ext, doc.meta.get("postulates_by_module") or {}))],
-        T._parse_datatype_string("v int, schemaVersion int, mode string, entryModule string, producer string, nodeKeyVersion int").add("externals_summary", summary),
+        [(0, doc.meta.get("entry_module"), doc.meta.get("producer"), doc.meta.get("node_key_version") or 1, None if ext is None else (ext, doc.meta.get("postulates_by_module") or {}))],
+        T._parse_datatype_string("part int, entryModule string, producer string, nodeKeyVersion int").add("externals_summary", summary),
     )
-    for c, df in parts.items():
-        scalars = scalars.crossJoin(df.withColumnRenamed("a", c))  # one row each
+    for c, df in parts.items():  # a row a piece
+        kind = df.schema["a"].dataType
+        none = F.array().cast(kind) if isinstance(kind, T.ArrayType) else F.create_map().cast(kind)
+        scalars = scalars.join(df.withColumnRenamed("a", c).hint("merge"), "part", "full").withColumn(c, F.coalesce(c, F.when(F.col("part") == 0, none)))
+    last = max(doc.definitions.count(), doc.edges.count(), doc.modules.count(), doc.reexports.count(), doc.files.count(), doc.options.count(), doc.unsolved.count()) // piece
+    if last:  # every number has its piece
+        scalars = scalars.join(spark.range(last + 1).select(F.col("id").cast("int").alias("part")).hint("merge"), "part", "full")
+    else:
+        scalars = scalars.withColumn("part", F.when(F.col("part") > 0, F.col("part")))
+    scalars = scalars.withColumns({"v": F.lit(VERSION), "schemaVersion": F.lit(VERSION), "mode": F.lit("expanded")})
     return scalars.select(F.to_json(F.struct(*(f.name for f in schema() if f.name in scalars.columns))).alias("value"))
 
 
 def write_document(doc: Document, path: str) -> None:
-    encode_document(doc).coalesce(1).write.mode("error").text(path)
+    encode_document(doc).write.mode("error").text(path)
 
 
 def build_index(doc: Document, origin: str | None = None) -> Graph:

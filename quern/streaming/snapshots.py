@@ -109,7 +109,7 @@ class Store:
     def save_entry(self, entry: str, doc: D.Document) -> None:
         """Publish an entry's document: a new folder, then the pointer; readers of the old one are not disturbed."""
         version = uuid.uuid4().hex
-        D.encode_document(doc).coalesce(1).write.text(f"{self.entry_path(entry)}/{version}")
+        D.encode_document(doc).write.text(f"{self.entry_path(entry)}/{version}")
         _write_text(self.spark, f"{self.entry_path(entry)}/{POINTER}", version)
 
     def entry(self, entry: str) -> D.Document | None:

@@ -100,3 +100,21 @@ def test_union(spark, tmp_path):
     assert u.unsolved.first().metas == [2, 4] and u.meta["entry_module"] == "B"
     D.write_document(u, str(tmp_path / "u"))
     assert D.build_index(D.read_document(spark, str(tmp_path / "u"))).nodes.count() == 6
+
+
+def test_pieces(spark, tmp_path, monkeypatch):
+    """Lists longer than a piece are written as several objects and read back in their order."""
+    many = {f"M{i}": f"M{i}.agda" for i in range(5)}
+    doc = D.read_document(spark, put(tmp_path, base(modules=["A", "B", "C"], moduleFiles={"A": "A.agda", "B": "B.agda"} | many)))
+    monkeypatch.setattr(D, "PIECE", 2)
+    D.write_document(doc, str(tmp_path / "pieces"))
+    raw = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "pieces")).collect()]
+    assert len(raw) > 1 and sorted(x["part"] for x in raw) == list(range(len(raw))) and all(len(v) <= 2 for x in raw for v in x.values() if isinstance(v, list))
+    back = D.read_document(spark, str(tmp_path / "pieces"))
+    for part in ("definitions", "edges", "subterms", "modules", "files", "reexports", "options", "unsolved"):
+        assert sorted(map(repr, getattr(back, part).collect())) == sorted(map(repr, getattr(doc, part).collect())), part
+    assert back.meta == doc.meta
+    lost = sorted((tmp_path / "pieces").glob("part-*"), key=lambda p: p.stat().st_size)[-1]
+    lost.write_text("")
+    with pytest.raises(D.DocumentError):
+        D.read_document(spark, str(tmp_path / "pieces"))
