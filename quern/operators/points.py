@@ -6,7 +6,7 @@ Results are DataFrames; an unknown name gives an empty one and an unknown filter
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quern.functions import names
@@ -120,11 +120,16 @@ def suffix_join(queries: DataFrame, graph: Graph) -> DataFrame:
 
 def owners(graph: Graph) -> DataFrame:
     """``def_id, owner``: for each local definition with a line, the nearest definition that is not local at or above it, in
-    its module or an enclosing one; of equal lines the later one. An as-of join by module prefix."""
+    its module or an enclosing one; of equal lines the later one. An as-of join by module prefix: one pass over the
+    distinct lines of each module."""
     n = graph.nodes.where(F.col("is_real") & F.col("line").isNotNull())
     local = n.where(names.is_local(F.col("name"))).select("def_id", F.col("line").alias("at"), F.explode(names.module_prefixes(F.col("module"))).alias("module"))
     top = n.where(~names.is_local(F.col("name"))).select("module", "line", F.col("def_id").alias("owner"))
-    best = local.join(top, "module").where("line <= at").groupBy("def_id").agg(F.max(F.struct("line", "owner")).alias("b"))
+    lines = top.groupBy("module", F.col("line").alias("at")).agg(F.max("owner").alias("owner")).unionByName(local.select("module", "at").distinct(), allowMissingColumns=True)
+    lines = lines.groupBy("module", "at").agg(F.max("owner").alias("owner"))
+    upto = Window.partitionBy("module").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("owner").isNotNull(), F.struct(F.col("at").alias("line"), "owner"))).over(upto)
+    best = local.join(lines.select("module", "at", last.alias("b")), ["module", "at"]).where("b is not null").groupBy("def_id").agg(F.max("b").alias("b"))
     return best.select("def_id", "b.owner")
 
 
