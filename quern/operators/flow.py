@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quern.functions import names
 from quern.operators.geometry import condensed
 from quern.operators.points import without_names
-from quern.operators.pieces import wide_closure
-from quern.operators.traverse import one_task
+from quern.operators.pieces import by_piece, deal, wide_closure
+from quern.operators.traverse import KERNEL_EDGES, one_task
 from quern.plans.graph import Graph
 from quern.session import materialise
 
@@ -135,6 +135,10 @@ def _kernel(pdf):
     return pd.DataFrame({"scc": [int(ids[i]) for i in picked], "cut": [i in is_cut for i in picked], "articulation": [i in is_art for i in picked]}).astype({"scc": "int64", "cut": bool, "articulation": bool})
 
 
+def _piece_kernel(table):
+    yield _kernel(table.to_pandas())
+
+
 def pick_sources(graph: Graph, mode: str = "exported-theorems") -> DataFrame:
     public = graph.nodes.where("access = 'public'")
     if mode == "exported-theorems":
@@ -154,8 +158,8 @@ def chokepoints(graph: Graph, sources: str = "exported-theorems", sinks: str | N
     A vertex costs 1 / (line + 1) of its least member (1 without a line), so the cut prefers some lines; the node is
     the least member. Sinks are assumptions (``postulates-axioms``); if none is given and these are missing or all
     sources themselves, the components that use nothing (``terminal-leaves``). score = upstream x downstream of cut
-    vertices, half as much again for articulation points; other articulation points score 0. The flow is one task over
-    the condensation, as augmenting paths follow each other.
+    vertices, half as much again for articulation points; other articulation points score 0. The flow is one task for each
+    weak component of the condensation, as augmenting paths follow each other; cuts of different components do not meet.
     """
     scc, dag = condensed(graph)
     lift = lambda df: df.join(scc, "node").select("scc").distinct()
@@ -172,9 +176,16 @@ def chokepoints(graph: Graph, sources: str = "exported-theorems", sinks: str | N
     first = scc.groupBy("scc").agg(F.min("node").alias("node")).join(graph.nodes.select(F.col("def_id").alias("node"), "line"), "node")
     v = first.join(src.withColumn("s", F.lit(1)), "scc", "left").join(dst.withColumn("t", F.lit(2)), "scc", "left")
     v = v.select(F.lit("v").alias("tag"), F.col("scc").alias("a"), F.coalesce("s", "t", F.lit(0)).cast("long").alias("b"), F.when(F.col("line").isNull(), 1.0).otherwise(1.0 / (F.col("line") + 1)).alias("cap"))
-    both = v.union(dag.select(F.lit("e"), "src", "dst", F.lit(0.0)))
-    found = materialise(one_task(both, _kernel, "scc long, cut boolean, articulation boolean").join(first.select("scc", "node"), "scc"), "choke")
-    count = lambda reverse, c: wide_closure(graph.edges, found.select(F.col("node").alias("seed")), reverse).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias(c))
+    v, schema = materialise(v, "vertices"), "scc long, cut boolean, articulation boolean"
+    d = deal(dag, KERNEL_EDGES)  # vertices without an edge are neither
+    both = v.join(d.at.toDF("a", "piece").hint("merge"), "a").select("piece", "tag", "a", "b", "cap").union(d.edges.select("piece", F.lit("e"), "src", "dst", F.lit(0.0)))
+    picked = by_piece(both, _piece_kernel, schema, d.tasks)
+    if d.giant is not None:
+        far = d.giant.select(F.col("src").alias("a")).union(d.giant.select("dst")).distinct()
+        picked = picked.union(one_task(v.join(far, "a", "left_semi").select("tag", "a", "b", "cap").union(d.giant.select(F.lit("e"), "src", "dst", F.lit(0.0))), _kernel, schema))
+    found = materialise(picked.join(first.select("scc", "node"), "scc"), "choke")
+    whole = deal(graph.edges, KERNEL_EDGES)
+    count = lambda reverse, c: wide_closure(graph.edges, found.select(F.col("node").alias("seed")), reverse, dealt=whole).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias(c))
     out = found.join(count(True, "upstream"), "node", "left").join(count(False, "downstream"), "node", "left").fillna(0, ["upstream", "downstream"])
     score = F.when(F.col("cut"), F.col("upstream") * F.col("downstream") * F.when(F.col("articulation"), 1.5).otherwise(1.0)).otherwise(0.0)
     kept = without_names(graph.nodes, exclude_names).select(F.col("def_id").alias("node"))
